@@ -130,7 +130,7 @@ class Mix:
                 for shard, sid, n, first, slot in zip(*(batch[c].to_numpy() for c in ("shard", "sid", "n", "first", "slot")), strict=True):
                     # a block serves at most most_repeats slots; what residual draws give beyond is left out
                     j = np.arange(first, min(first + n, most * blocks[sid]), dtype=np.int64)
-                    key = (np.uint64(seed * 1_000_003 + sid) * np.uint64(0x9E3779B97F4A7C15)) ^ ((j // blocks[sid]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                    key = np.uint64((seed * 1_000_003 + int(sid)) * 0x9E3779B97F4A7C15 % 2**64) ^ ((j // blocks[sid]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                     yield pd.DataFrame({"shard": shard, "slot": slot + np.arange(len(j)), "sid": sid, "block": permuted(j % blocks[sid], np.full(len(j), blocks[sid]), key)})
 
         counts = counts.repartition(max(1, min(4 * shards, 4096)), "shard", "sid") if shards else counts
