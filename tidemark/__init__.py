@@ -1 +1,8 @@
 """tidemark: time-series analytics and data preparation as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with their code: workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
