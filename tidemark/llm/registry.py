@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, mixing
+from tidemark.llm import exact_dedup, license_scan, mixing
 
 
 def queries() -> dict:
     return {
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
+        "op10_license_scan": license_scan.op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE}
