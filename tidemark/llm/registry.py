@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, license_scan, mixing, secret_scan
+from tidemark.llm import exact_dedup, license_scan, mixing, secret_scan, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
         "op10_license_scan": license_scan.op10_license_scan,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE, "op1_secret_scan": secret_scan.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE, "op1_secret_scan": secret_scan.ORACLE}
