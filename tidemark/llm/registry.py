@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, license_scan, mixing, secret_scan, warc
+from tidemark.llm import exact_dedup, license_scan, mixing, quality, secret_scan, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op5_quality": quality.op5_quality,
         "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_mixing": mixing.op9_mixing,
