@@ -12,8 +12,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def teaching_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> pd.DataFrame:
+def teaching_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, whole: bool = False) -> pd.DataFrame:
     """About ``rows`` labelled, not held out rows as (text, label), each text cut to ``chars`` code points; ordered by hash.
+    With ``whole``, of these rows the ones whose text isn't longer.
 
     The rows are those with the smallest hashes of doc_id, so that the sample doesn't depend on order or partitions."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -23,6 +24,7 @@ def teaching_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     if there > rows:
         known = known.filter(F.col("order") < int((1 << 30) * rows / there))
     # bounded by ``rows`` whatever the input
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
+    texts = docs.filter(F.length("text") <= chars) if whole else docs
+    texts = texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"))
     found = texts.join(F.broadcast(known), "doc_id").select("text", "label", "order", "doc_id").toPandas()
     return found.sort_values(["order", "doc_id", "text"], kind="stable", ignore_index=True)[["text", "label"]]

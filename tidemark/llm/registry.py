@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, license_scan, mixing, quality, secret_scan, warc
+from tidemark.llm import exact_dedup, license_scan, mixing, quality, secret_scan, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_license_scan": license_scan.op10_license_scan,
     }
