@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, license_scan, mixing, quality, secret_scan, toxicity, warc
+from tidemark.llm import exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_quality": quality.op5_quality,
         "op6_warc": warc.op6_warc,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
