@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, toxicity, warc
+from tidemark.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secret_scan.op1_secret_scan,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_quality": quality.op5_quality,
         "op6_warc": warc.op6_warc,
