@@ -262,11 +262,11 @@ def _star(root: np.ndarray) -> np.ndarray:
     return np.column_stack([k, root[k]])
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, keep_text_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, class_size, representative (one row of each class)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     keyed = rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    rids = stored(keyed.select("doc_id", "sha").withColumn("rid", F.monotonically_increasing_id()), "join-rows")
+    rids = stored(keyed.select("doc_id", "sha", F.xxhash64("text").alias("_hash")).withColumn("rid", F.monotonically_increasing_id()), "join-rows")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +328,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     known = per_sha.filter("copies > 1").select("sha", "copies").join(repeated, "sha", "right")
     known = stored(known.select("sha", F.coalesce("copies", F.lit(1)).alias("copies"), "links", F.coalesce(F.col("class").cast("string"), F.hex("sha")).alias("class")), "join-known")
     n = known.count()
-    out = stored(rids.join(small(known, n), "sha", "left").select("doc_id", "rid", "class", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "join-out")
+    out = stored(rids.join(small(known, n), "sha", "left").select("doc_id", "rid", "_hash", "class", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "join-out")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     classes = out.filter("class is not null").groupBy("class").agg(first, F.count("*").alias("class_size"))
     classes = stored(classes.select("class", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("of"), "class_size"), "join-class-ids")
@@ -339,8 +339,27 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
         "n_links",
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce(F.col("rid") == F.col("of"), F.lit(True)).alias("representative"),
+        *(["_hash"] if keep_text_hash else []),
     )
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+def drop_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one document, the smallest, of each class, all columns."""
+    spread = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = similar_documents(spread, threshold, keep_text_hash=True)
+    found = stored(found.filter("class_size > 1").select(F.col("doc_id").alias("_id"), "_hash", "representative"), "similar-decisions")
+    gone = found.groupBy("_id", "_hash").agg(F.max("representative").alias("kept"), F.count("*").alias("rows"))
+    gone, ties = gone.filter("not kept").drop("kept", "rows"), gone.filter("kept and rows > 1").drop("kept", "rows")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
+    on = lambda other: keyed["doc_id"].cast("bigint").eqNullSafe(other["_id"]) & (keyed["_text_hash"] == other["_hash"])
+    kept = keyed.join(small(gone, gone.count()), on(gone), "left_anti")
+    if ties.isEmpty():
+        return kept.drop("_text_hash")
+    # rows repeated with the same id and text: one of them
+    single = kept.join(small(ties, ties.count()), kept["doc_id"].cast("bigint").eqNullSafe(ties["_id"]) & (kept["_text_hash"] == ties["_hash"]), "left_anti")
+    tied = keyed.join(small(ties, ties.count()), on(ties), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return single.unionByName(tied).drop("_text_hash")
