@@ -46,13 +46,13 @@ def inverse_box_cox(v: Column, lam: Column) -> Column:
 
 
 def decay_kernel(kind: str, at: Column, duration: Column) -> Column:
-    """Weight of an event ``at`` steps after its start, for steps 0 .. duration - 1."""
+    """Weight of an event ``at`` steps after its start."""
+    tau, mid = F.greatest(duration / 3, F.lit(0.5)), duration / 2
     inside = (at >= 0) & (at < duration)
-    mid = (duration - 1) / 2
-    shapes = {
-        "box": F.lit(1.0),
-        "step": F.lit(1.0),
-        "exponential": F.exp(-at / (duration / 3)),
-        "gaussian": F.exp(-F.pow(at - mid, 2) / (2 * F.pow(F.greatest(duration / 4, F.lit(0.5)), 2))),
-    }
-    return F.when(at >= 0 if kind == "step" else inside, shapes[kind]).otherwise(0.0)
+    return {
+        "box": F.when(inside, 1.0).otherwise(0.0),
+        "exponential": F.when(at >= 0, F.exp(-at / tau)).otherwise(0.0),
+        "triangular": F.when(~inside, 0.0).when(at < mid, at / F.greatest(mid, F.lit(0.5))).otherwise((duration - at) / F.greatest(at - mid, F.lit(0.5))),
+        "gaussian": F.exp(-0.5 * F.pow((at - mid) / F.greatest(duration / 4, F.lit(0.5)), 2)),
+        "step": F.when(at >= 0, 1 - F.exp(-at / tau)).otherwise(0.0),
+    }[kind]
