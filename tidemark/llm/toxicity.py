@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import small, stored, table, text_or_empty
 from tidemark.llm.labelled import held_out, teaching_sample
 
 WINDOW = 32
 STRIDE = 16
 #: Windows that run through the network at once, and bytes of text that are cut into words at once.
 _LANES = 2048
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -74,7 +74,7 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 class BiGru:
     """Parameters and their use; ``p`` maps names to arrays."""
 
-    def __init__(self, units: int = 8, width: int = 16, word_slots: int = 1 << 14, gram_slots: int = 1 << 15, seed: int = 5, epochs: int = 4, fit_rows: int = 12_000, fit_chars: int = 8000, fit_total: int = 3_500_000, batch: int = 64, rate: float = 0.02):
+    def __init__(self, units: int = 8, width: int = 16, word_slots: int = 1 << 14, gram_slots: int = 1 << 15, seed: int = 5, epochs: int = 4, fit_rows: int = 8000, fit_chars: int = 4000, fit_total: int = 2_000_000, batch: int = 64, rate: float = 0.02):
         self.units, self.width, self.word_slots, self.gram_slots, self.seed = units, width, word_slots, gram_slots, seed
         self.epochs, self.fit_rows, self.fit_chars, self.fit_total, self.batch, self.rate = epochs, fit_rows, fit_chars, fit_total, batch, rate
         r, h, w = np.random.default_rng(seed), units, width
@@ -208,6 +208,7 @@ class BiGru:
         grid = np.where(np.arange(WINDOW) < size[:, None], np.append(ids, pad)[np.minimum(at[:, None] + np.arange(WINDOW), len(ids))], pad)
         spans = np.searchsorted(text, np.arange(len(texts) + 1))
         gram_n = np.diff(np.append(first, len(slot)))
+        del raw, start, end, hashes
         r, step, held = np.random.default_rng(self.seed), 0, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         weight = np.where(labels == 1, np.minimum(8.0, 0.5 / max(labels.mean(), 1e-3)), 1.0)
         epochs = max(self.epochs, min(12, -(-300 * self.batch // len(texts))))  # few texts are read more often
@@ -246,6 +247,7 @@ class BiGru:
                     m[u] = 0.9 * m[u] + 0.1 * d
                     v[u] = 0.99 * v[u] + 0.01 * d * d
                     self.p[name][u] -= rate * (m[u] / (1 - 0.9**step)) / (np.sqrt(v[u] / (1 - 0.99**step)) + 1e-7)
+        del held, grid, slot, first, ids
         z = np.column_stack([np.ones(len(texts)), *self.raw_scores([t.lower().encode() for t in texts])])
         w = np.zeros(z.shape[1])
         for _ in range(40):
@@ -328,3 +330,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = BiGru().fitted(docs, labels).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the documents that score ``threshold`` or more, all columns."""
+    scored = BiGru().fitted(docs, labels).score(docs.select("*", F.xxhash64(text_or_empty()).alias("_hash")), "_hash")
+    gone = stored(scored.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), "_hash").distinct(), "toxic-decisions")
+    on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
+    return docs.join(small(gone, gone.count()), on, "left_anti")
