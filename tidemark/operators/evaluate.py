@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.functions.stats import norm_cdf
 from tidemark.operators.models import forecast
 from tidemark.operators.prepare import autocorrelation, train_test
 
-_BY_IDX = Window.partitionBy("series_id").orderBy("idx")
+
+def _by_idx() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("idx")
 
 
 def metric_columns(actual: Column, predicted: Column) -> list[Column]:
@@ -36,7 +39,7 @@ def backtest(points: DataFrame, test: int, season: int | None = None, methods: t
     train = split.filter("not is_test")
     sizes = train.groupBy("series_id").agg(F.count("*").alias("n"))
     actuals = split.filter("is_test").join(sizes, "series_id").select("series_id", (F.col("idx") - F.col("n") + 1).alias("h"), "value")
-    naive = train.withColumn("d", F.abs(F.col("value") - F.lag("value").over(_BY_IDX))).groupBy("series_id").agg(F.avg("d").alias("naive"))
+    naive = train.withColumn("d", F.abs(F.col("value") - F.lag("value").over(_by_idx()))).groupBy("series_id").agg(F.avg("d").alias("naive"))
     out = scored(actuals, forecast(train, test, season=season, methods=methods), ("series_id", "method"), naive)
     order = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.round("rmse", 6), order)))
@@ -75,7 +78,7 @@ def ljung_box(points: DataFrame, lags: int = 10, textbook: bool = False) -> Data
 
 def business_metrics(pairs: DataFrame, alpha: float = 0.9, sla: float = 0.9, top: float = 1.2, over: float = 1.0, under: float = 2.0) -> DataFrame:
     """Per series of (series_id, idx, value, point): weighted MAPE, service level, peak error, direction, cost."""
-    w = pairs.withColumn("prev_v", F.lag("value").over(_BY_IDX)).withColumn("prev_p", F.lag("point").over(_BY_IDX)).withColumn("avg_v", F.avg("value").over(Window.partitionBy("series_id")))
+    w = pairs.withColumn("prev_v", F.lag("value").over(_by_idx())).withColumn("prev_p", F.lag("point").over(_by_idx())).withColumn("avg_v", F.avg("value").over(Window.partitionBy("series_id")))
     e, a = F.abs(F.col("value") - F.col("point")), F.col("value")
     weight = F.pow(F.lit(alpha), F.col("idx"))
     same = (F.col("value") > F.col("prev_v")) == (F.col("point") > F.col("prev_p"))

@@ -6,13 +6,19 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.operators.evaluate import backtest
 from tidemark.operators.models import forecast
 from tidemark.operators.prepare import autocorrelation
 
-_SERIES = Window.partitionBy("series_id")
-_BY_IDX = _SERIES.orderBy("idx")
+
+def _series() -> WindowSpec:
+    return Window.partitionBy("series_id")
+
+
+def _by_idx() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("idx")
 
 
 def fourier(points: DataFrame, season: int, harmonics: int) -> DataFrame:
@@ -32,7 +38,7 @@ def seasonal_lags(points: DataFrame, max_lag: int, least: float = 0.1, z: float
 
 
 def characteristics(points: DataFrame) -> DataFrame:
-    p = points.withColumn("b", F.lag("value").over(_BY_IDX)).withColumn("m", F.avg("value").over(_SERIES))
+    p = points.withColumn("b", F.lag("value").over(_by_idx())).withColumn("m", F.avg("value").over(_series()))
     v, i = F.col("value"), F.col("idx").cast("double")
     return p.groupBy("series_id").agg(
         F.count("*").alias("n"),
@@ -68,7 +74,7 @@ def ensemble(points: DataFrame, test: int, horizon: int, methods: tuple[str, ...
 
 def drift(points: DataFrame, recent: int = 30, threshold: float = 3.0) -> DataFrame:
     """(series_id, z, drift): distance of the last ``recent`` values' mean from the mean, in deviations."""
-    n = F.count("*").over(_SERIES)
+    n = F.count("*").over(_series())
     p = points.withColumn("late", F.col("idx") >= n - recent)
     out = p.groupBy("series_id").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.avg(F.when(F.col("late"), F.col("value"))).alias("recent"))
     z = F.try_divide(F.abs(F.col("recent") - F.col("mean")), F.col("sd"))

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-_SERIES = Window.partitionBy("series_id")
-_BY_IDX = _SERIES.orderBy("idx")
+
+def _series() -> WindowSpec:
+    return Window.partitionBy("series_id")
+
+
+def _by_idx() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("idx")
 
 
 def missing_runs(points: DataFrame) -> DataFrame:
     """(series_id, first, last, duration, kind): runs of null values; up to two are a scattered_hole, more a complete_time_gap."""
-    null = points.filter("value is null").withColumn("run", F.col("idx") - F.row_number().over(_BY_IDX))
+    null = points.filter("value is null").withColumn("run", F.col("idx") - F.row_number().over(_by_idx()))
     runs = null.groupBy("series_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("duration")).drop("run")
     return runs.withColumn("kind", F.when(F.col("duration") <= 2, "scattered_hole").otherwise("complete_time_gap"))
 
@@ -23,7 +29,7 @@ def coverage(points: DataFrame) -> DataFrame:
 def zscore_outliers(points: DataFrame, threshold: float = 2.5) -> DataFrame:
     """(series_id, idx, value, score, confidence): |z| above the threshold, by population deviation."""
     v = points.filter("value is not null")
-    z = F.abs(F.col("value") - F.avg("value").over(_SERIES)) / F.when(F.stddev_pop("value").over(_SERIES) > 0, F.stddev_pop("value").over(_SERIES)).otherwise(1.0)
+    z = F.abs(F.col("value") - F.avg("value").over(_series())) / F.when(F.stddev_pop("value").over(_series()) > 0, F.stddev_pop("value").over(_series())).otherwise(1.0)
     out = v.withColumn("score", z).filter(F.col("score") > threshold)
     return out.withColumn("confidence", F.least(F.lit(0.95), F.exp(-2 / F.col("score")))).select("series_id", "idx", "value", "score", "confidence")
 
@@ -48,10 +54,10 @@ def mad_outliers(points: DataFrame, threshold: float = 3.5) -> DataFrame:
 
 def trend_shifts(points: DataFrame) -> DataFrame:
     """(series_id, idx, before, after, magnitude): means of neighbouring blocks that differ by over half a deviation."""
-    n = F.count("*").over(_SERIES)
+    n = F.count("*").over(_series())
     # frames can't depend on a row, so block means come from running sums
     p = points.withColumn("n", n).withColumn("w", F.greatest(F.lit(5), F.floor(F.col("n") / 10)).cast("int"))
-    p = p.withColumn("sd", F.stddev_pop("value").over(_SERIES)).withColumn("run", F.sum("value").over(_BY_IDX.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("sd", F.stddev_pop("value").over(_series())).withColumn("run", F.sum("value").over(_by_idx().rowsBetween(Window.unboundedPreceding, 0)))
     edge = p.select("series_id", F.col("idx").alias("at"), F.col("run").alias("upto"))
     at = p.filter((F.col("idx") >= F.col("w")) & (F.col("idx") < F.col("n") - F.col("w")) & (F.col("n") >= 3 * F.col("w")))
     hops = at.select("series_id", "idx", "w", "sd", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col("idx") - 1 + F.col("w") * d).alias("at")) for k, d in (("a", -1), ("b", 0), ("c", 1))))).alias("e"))
@@ -64,14 +70,14 @@ def trend_shifts(points: DataFrame) -> DataFrame:
 
 def outlier_clusters(points: DataFrame, sds: float = 2.0) -> DataFrame:
     """(series_id, first, last, size): runs of at least two values beyond ``sds`` population deviations."""
-    far = points.withColumn("far", F.abs(F.col("value") - F.avg("value").over(_SERIES)) > sds * F.stddev_pop("value").over(_SERIES)).filter("far")
-    runs = far.withColumn("run", F.col("idx") - F.row_number().over(_BY_IDX))
+    far = points.withColumn("far", F.abs(F.col("value") - F.avg("value").over(_series())) > sds * F.stddev_pop("value").over(_series())).filter("far")
+    runs = far.withColumn("run", F.col("idx") - F.row_number().over(_by_idx()))
     return runs.groupBy("series_id", "run").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("size")).filter("size >= 2").drop("run")
 
 
 def hampel_outliers(points: DataFrame, k: int = 5, times: float = 5.0) -> DataFrame:
     """(series_id, idx, value, median, mad): values far from the median of their k neighbours on either side."""
-    sides = [F.collect_list("value").over(_BY_IDX.rowsBetween(-k, -1)), F.collect_list("value").over(_BY_IDX.rowsBetween(1, k))]
+    sides = [F.collect_list("value").over(_by_idx().rowsBetween(-k, -1)), F.collect_list("value").over(_by_idx().rowsBetween(1, k))]
     med = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
     p = points.withColumn("near", F.array_sort(F.concat(*sides))).withColumn("median", med(F.col("near")))
     p = p.withColumn("off", F.array_sort(F.transform("near", lambda x: F.abs(x - F.col("median"))))).withColumn("mad", med(F.col("off")))
@@ -82,13 +88,13 @@ def hampel_outliers(points: DataFrame, k: int = 5, times: float = 5.0) -> DataFr
 def impute(points: DataFrame, method: str = "linear", season: int = 7, window: int = 3) -> DataFrame:
     """``points`` with null values filled: linear (mean of the nearest known neighbours), seasonal (mean of the phase),
     neighbor_avg (mean of ``window`` on either side) or last (mean of the ten known values before)."""
-    before, after = _BY_IDX.rowsBetween(Window.unboundedPreceding, -1), _BY_IDX.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _by_idx().rowsBetween(Window.unboundedPreceding, -1), _by_idx().rowsBetween(1, Window.unboundedFollowing)
     left, right = F.last("value", True).over(before), F.first("value", True).over(after)
     fill = {
         "linear": F.when(left.isNull(), right).when(right.isNull(), left).otherwise((left + right) / 2),
         "seasonal": F.avg("value").over(Window.partitionBy("series_id", F.col("idx") % season)),
-        "neighbor_avg": F.avg("value").over(_BY_IDX.rowsBetween(-window, window)),
-        "last": F.avg("value").over(_BY_IDX.rowsBetween(-10, -1)),
+        "neighbor_avg": F.avg("value").over(_by_idx().rowsBetween(-window, window)),
+        "last": F.avg("value").over(_by_idx().rowsBetween(-10, -1)),
     }[method]
     return points.withColumn("filled", fill).withColumn("value", F.coalesce("value", "filled")).drop("filled")
 
