@@ -105,3 +105,32 @@ def season_breaks(points: DataFrame, season: int = 7, least: float = 0.7) -> Dat
     after = p.select("series_id", (F.col("block") - 1).alias("block"), "phase", F.col("value").alias("after"))
     r = p.join(after, ["series_id", "block", "phase"]).groupBy("series_id", "block").agg(F.corr("value", "after").alias("r"), F.count("*").alias("n"))
     return r.filter((F.col("n") == season) & (F.col("r") < least)).select("series_id", "block", "r")
+
+
+def human_errors(points: DataFrame) -> DataFrame:
+    """(series_id, kind, severity, count): jumps of scale, many multiples of ten, and values with one decimal place at most."""
+    text = F.regexp_replace(F.col("value").cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    decimals = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, "."))
+    p = points.withColumn("ratio", F.when(F.lag("value").over(_by_idx()) > 0, F.col("value") / F.lag("value").over(_by_idx()))).withColumn("decimals", decimals)
+    common = p.filter("decimals > 0").groupBy("series_id", "decimals").count().groupBy("series_id").agg(F.max_by("decimals", F.struct("count", "decimals")).alias("common"))
+    per = p.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if((F.col("ratio") > 10) | (F.col("ratio") < 0.1)).alias("jumps"), F.count_if(F.col("value") % 10 == 0).alias("tens")).join(common, "series_id", "left")
+    kinds = F.array_compact(
+        F.array(
+            F.when(F.coalesce("common", F.lit(2)) <= 1, F.struct(F.lit("excessive_rounding").alias("kind"), F.lit("medium").alias("severity"), F.col("n").alias("count"))),
+            F.when(F.col("jumps") > 0, F.struct(F.lit("potential_unit_mismatch").alias("kind"), F.lit("high").alias("severity"), F.col("jumps").alias("count"))),
+            F.when(F.col("tens") > 0.3 * F.col("n"), F.struct(F.lit("human_adjustment_pattern").alias("kind"), F.lit("low").alias("severity"), F.col("tens").alias("count"))),
+        )
+    )
+    return per.select("series_id", F.explode(kinds).alias("k")).select("series_id", "k.*")
+
+
+def gates(points: DataFrame, least_coverage: float = 95.0, most_gaps: int = 1, most_outliers: float = 0.05) -> DataFrame:
+    """(series_id, coverage, gaps, outliers, health, passed): health is the share of weight (error 3, warning 1) that issues leave."""
+    base = coverage(points).join(missing_runs(points).filter("kind = 'complete_time_gap'").groupBy("series_id").agg(F.count("*").alias("gaps")), "series_id", "left")
+    far = zscore_outliers(points).groupBy("series_id").agg(F.count("*").alias("outliers"))
+    n = points.groupBy("series_id").agg(F.count("*").alias("n"))
+    all_ = base.join(far, "series_id", "left").join(n, "series_id").na.fill(0, ["gaps", "outliers"])
+    errors, warnings = (F.col("gaps") > 0).cast("int"), (F.col("outliers") > 0).cast("int") + (F.col("coverage") < 100).cast("int")
+    health = F.when(errors + warnings > 0, 100 * (1 - (3 * errors + warnings) / (3 * (errors + warnings)))).otherwise(100.0)
+    passed = (F.col("coverage") >= least_coverage) & (F.col("gaps") <= most_gaps) & (F.col("outliers") <= most_outliers * F.col("n"))
+    return all_.select("series_id", "coverage", "gaps", "outliers", F.round(health, 1).alias("health"), passed.alias("passed"))

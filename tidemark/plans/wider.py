@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import causal, features, models, multi, prepare, scenarios
+from tidemark import plugins
+from tidemark.functions import holidays
+from tidemark.operators import causal, decompose, features, models, multi, quality, regress, scenarios
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,3 +331,82 @@ def stream_forecasts(spark, d):
     from tidemark.streaming import engine
 
     return rounded(engine.replay(spark, d))
+
+
+_MA = """
+m0 AS (SELECT *, CASE WHEN idx >= 3 AND idx < n - 3 THEN avg(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS m FROM p),
+t0 AS (SELECT *, coalesce(m, CASE WHEN idx < 3 THEN first_value(m IGNORE NULLS) OVER w ELSE last_value(m IGNORE NULLS) OVER w END) AS trend0 FROM m0 WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+i0 AS (SELECT *, value - avg(value - trend0) OVER (PARTITION BY series_id, idx % 7) AS plain FROM t0),
+m1 AS (SELECT *, CASE WHEN idx >= 3 AND idx < n - 3 THEN avg(plain) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS k FROM i0),
+t1 AS (SELECT *, coalesce(k, CASE WHEN idx < 3 THEN first_value(k IGNORE NULLS) OVER w ELSE last_value(k IGNORE NULLS) OVER w END) AS trend FROM m1 WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+s1 AS (SELECT a.series_id, a.idx, avg(b.plain - b.trend) AS smooth FROM t1 a JOIN t1 b ON a.series_id = b.series_id AND a.idx // 7 = b.idx // 7 GROUP BY 1, 2),
+d AS (SELECT t1.series_id, t1.idx, n, value, trend, smooth - avg(smooth) OVER (PARTITION BY t1.series_id) AS seasonal FROM t1 JOIN s1 USING (series_id, idx))"""
+
+
+@query("decomposed", f"WITH {DAILY}, {_MA} SELECT series_id, idx, round(trend, 4) AS trend, round(seasonal, 4) AS seasonal, round(value - trend - seasonal, 4) AS remainder FROM d")
+def decomposed(spark, d):
+    return longs(rounded(decompose.decomposed(tables.daily_events(spark, d), 7).select("series_id", "idx", "trend", "seasonal", "remainder")), "idx")
+
+
+@query(
+    "decomposed_forecast",
+    f"""WITH {DAILY}, {_MA}, f AS (SELECT series_id, any_value(n) AS n, arg_max(trend, idx) AS last, regr_slope(trend, idx) FILTER (idx >= n - 3) AS slope, stddev_pop(value - trend - seasonal) AS sigma FROM d GROUP BY 1)
+SELECT f.series_id, h, round(last + h * slope + coalesce(seasonal, 0), 4) AS point, round(last + h * slope + coalesce(seasonal, 0) - 1.2816 * sigma * sqrt(h), 4) AS lower, round(last + h * slope + coalesce(seasonal, 0) + 1.2816 * sigma * sqrt(h), 4) AS upper
+FROM f JOIN range(1, 15) r(h) ON true LEFT JOIN d ON d.series_id = f.series_id AND d.idx = (f.n - 1) % 7 + (h - 1) % 7""",
+)
+def decomposed_forecast(spark, d):
+    return longs(rounded(decompose.decomposed_forecast(tables.daily_events(spark, d), 7, 14)), "h")
+
+
+@query("harmonic_forecast")
+def harmonic_forecast(spark, d):
+    return rounded(regress.harmonic_forecast(tables.daily_orders(spark, d), 7, 2, 14))
+
+
+@query("robust_line")
+def robust_line(spark, d):
+    return rounded(regress.robust_line(tables.daily_events(spark, d)))
+
+
+@query("holidays")
+def holiday_events(spark, d):
+    return holidays.holidays(spark, 1992, 1998).withColumn("start", F.col("start").cast("string"))
+
+
+@query(
+    "human_errors",
+    """WITH q AS (SELECT CAST(l_partkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS t, sum(l_quantity) AS value FROM lineitem WHERE l_partkey <= 30 GROUP BY 1, 2),
+r AS (SELECT *, value / nullif(lag(value) OVER (PARTITION BY series_id ORDER BY t), 0) AS ratio FROM q),
+c AS (SELECT series_id, count(*) AS n, count(*) FILTER (ratio > 10 OR ratio < 0.1) AS jumps, count(*) FILTER (value % 10 = 0) AS tens FROM r GROUP BY 1)
+SELECT series_id, 'potential_unit_mismatch' AS kind, 'high' AS severity, jumps AS count FROM c WHERE jumps > 0 UNION ALL SELECT series_id, 'human_adjustment_pattern', 'low', tens FROM c WHERE tens > 0.3 * n""",
+)
+def human_errors(spark, d):
+    line = tables.table(spark, d, "lineitem").filter("l_partkey <= 30")
+    per = line.groupBy(F.col("l_partkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("value"))
+    return quality.human_errors(tables.indexed(per))
+
+
+@query("quality_gates")
+def quality_gates(spark, d):
+    return quality.gates(tables.daily_events(spark, d))
+
+
+@query(
+    "threshold_alerts",
+    f"""WITH {DAILY}, b AS (SELECT *, value > 3300 AS hit, sum(CASE WHEN value > 3300 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY t) AS run FROM p),
+h AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY t) AS hits FROM b WHERE hit)
+SELECT series_id, CAST(t AS VARCHAR) AS t, round(value, 4) AS value, hits, CASE WHEN hits >= 6 THEN 'critical' WHEN hits >= 3 THEN 'warning' ELSE 'info' END AS level FROM h WHERE hits IN (1, 3, 6) OR (hits - 1) // 2 > (hits - 2) // 2""",
+)
+def threshold_alerts(spark, d):
+    from tidemark.streaming import alerts
+
+    out = alerts.threshold_alerts(tables.daily_events(spark, d), 3300.0, cooldown_seconds=2 * 86_400)
+    return longs(rounded(out.withColumn("t", F.col("t").cast("string"))), "hits")
+
+
+@query(
+    "plugin_forecast",
+    f"WITH {DAILY} SELECT series_id, CAST(h AS INT) AS h, round(avg(value) + 0.1 * regr_slope(value, idx) * h, 4) AS point FROM p, range(1, 8) r(h) GROUP BY series_id, h",
+)
+def plugin_forecast(spark, d):
+    return rounded(plugins.forecast_with(tables.daily_events(spark, d), "mean_with_slope", 7))

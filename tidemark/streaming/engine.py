@@ -22,6 +22,41 @@ _OUT = "series_id string, points long, dropped long, mean double, sd double, dri
 _STATE = "values array<double>, last long, n long, mean double, m2 double, dropped long"
 
 
+class IncrementalState:
+    """What is kept of a series between batches: bounded values, running moments (Welford), the last time, repeats dropped."""
+
+    def __init__(self, values=(), last: int = -1, n: int = 0, mean: float = 0.0, m2: float = 0.0, dropped: int = 0, window: int = 2000):
+        self.values, self.last, self.n, self.mean, self.m2, self.dropped, self.window = list(values), last, n, mean, m2, dropped, window
+
+    def add(self, t: int, v: float) -> bool:
+        """Takes a point; False if its time isn't after the last one."""
+        if t <= self.last:
+            self.dropped += 1
+            return False
+        self.last, self.n = t, self.n + 1
+        step = v - self.mean
+        self.mean += step / self.n
+        self.m2 += step * (v - self.mean)
+        self.values = [*self.values[-(self.window - 1) :], v] if len(self.values) >= self.window else [*self.values, v]
+        return True
+
+    def sd(self) -> float:
+        return float(np.sqrt(self.m2 / (self.n - 1))) if self.n > 1 else 0.0
+
+    def drifted(self, recent: int = 30, threshold: float = 3.0) -> bool:
+        late = self.values[-recent:]
+        return bool(self.n >= 20 and len(late) >= 10 and self.sd() > 0 and abs(np.mean(late) - self.mean) / self.sd() > threshold)
+
+    def smoothed(self, alpha: float = 0.3) -> float:
+        level = self.values[0] if self.values else 0.0
+        for v in self.values[1:]:
+            level += alpha * (v - level)
+        return level
+
+    def row(self) -> tuple:
+        return self.values, self.last, self.n, self.mean, self.m2, self.dropped
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{(held or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -52,32 +87,16 @@ def replay(spark: SparkSession, sf_dir: str, window: int = 2000, drift_window: i
     """(series_id, points, dropped, mean, sd, drift, next): state of each series after all hourly totals went through the forecaster."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        values, last, n, mean, m2, dropped = state.get if state.exists else ([], -1, 0, 0.0, 0.0, 0)
-        values = list(values)
+        held = IncrementalState(*(state.get if state.exists else ()), window=window)
         for t, v in sorted((int(t), float(v)) for b in batches for t, v in zip(b["t"], b["value"], strict=True)):
-            if t <= last:
-                dropped += 1
-                continue
-            last, n = t, n + 1
-            step = v - mean
-            mean += step / n
-            m2 += step * (v - mean)
-            values.append(v)
-        values = values[-window:]
-        state.update((values, last, n, mean, m2, dropped))
-        sd = float(np.sqrt(m2 / (n - 1))) if n > 1 else 0.0
-        recent = values[-drift_window:]
-        drifted = n >= 20 and len(recent) >= 10 and sd > 0 and abs(np.mean(recent) - mean) / sd > threshold
-        # simple exponential smoothing of the window: the next value
-        level = values[0] if values else 0.0
-        for v in values[1:]:
-            level += 0.3 * (v - level)
-        yield pd.DataFrame([(key[0], n, dropped, mean, sd, bool(drifted), level)], columns=["series_id", "points", "dropped", "mean", "sd", "drift", "next"])
+            held.add(t, v)
+        state.update(held.row())
+        yield pd.DataFrame([(key[0], held.n, held.dropped, held.mean, held.sd(), held.drifted(drift_window, threshold), held.smoothed())], columns=["series_id", "points", "dropped", "mean", "sd", "drift", "next"])
 
     events = table(spark, sf_dir, "events")
     hourly = events.groupBy(F.col("event_type").alias("series_id"), F.unix_seconds(F.date_trunc("hour", "ts")).alias("t")).agg(F.sum("value").alias("value"))
     feed = _folder(spark, "stream-feed")
-    hourly.repartition(4, "t").write.parquet(feed)
+    hourly.repartitionByRange(4, "t").write.parquet(feed)
     points = spark.readStream.schema(hourly.schema).parquet(feed)
     states = points.groupBy("series_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
     out, marks = _folder(spark, "stream-states"), _folder(spark, "stream-states-marks")
