@@ -169,7 +169,7 @@ def granger_edges(spark, d):
 
 @query(
     "pulse_response",
-    """SELECT CAST(h AS INT) AS h, round(sum(CASE WHEN h - lag BETWEEN 2 AND 6 THEN 3.0 * c ELSE 0 END), 6) AS delta, count(*) FILTER (h - lag BETWEEN 2 AND 6) AS active
+    """SELECT CAST(h AS INT) AS h, round(CAST(sum(CASE WHEN h - lag BETWEEN 2 AND 6 THEN 3.0 * c ELSE 0 END) AS DOUBLE), 6) AS delta, count(*) FILTER (h - lag BETWEEN 2 AND 6) AS active
 FROM range(0, 12) s(h), (VALUES (0, 0.5), (1, 0.3), (2, 0.1)) l(lag, c) GROUP BY 1""",
 )
 def pulse_response(spark, d):
