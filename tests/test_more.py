@@ -101,3 +101,21 @@ def test_incremental_state():
     for k in range(75):
         d.add(k, 10.0 + 0.1 * (k % 2) if k < 60 else 100.0)
     assert d.drifted(10, 1.5)
+
+
+def test_multiplicative_season(spark):
+    from tidemark.operators import models
+
+    v = [(100 + k) * (1 + 0.3 * math.sin(2 * math.pi * k / 7)) for k in range(84)]
+    got = [r["point"] for r in models.holt_winters(series(spark, v), 7, 7, multiplicative=True).orderBy("h").collect()]
+    want = [(100 + k) * (1 + 0.3 * math.sin(2 * math.pi * k / 7)) for k in range(84, 91)]
+    assert got == pytest.approx(want, rel=0.02)
+    assert models.holt_winters(series(spark, [-1.0] * 20), 7, 7, multiplicative=True).count() == 0
+
+
+def test_box_cox_of_shifted(spark):
+    from tidemark.operators import models
+
+    rows = models.box_cox_forecast(series(spark, [k * k - 5.0 for k in range(30)]), 3).orderBy("h").collect()
+    assert all(r["lower"] <= r["point"] <= r["upper"] for r in rows)
+    assert rows[0]["point"] == pytest.approx(30 * 30 - 5, rel=0.05)

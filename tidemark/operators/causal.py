@@ -90,3 +90,33 @@ def pulse_response(coefficients: list[float], change: float, start: int, duratio
     steps = spark.range(horizon).select(F.col("id").cast("int").alias("h"))
     hit: Column = (F.col("h") - F.col("lag")).between(start, start + duration - 1)
     return steps.crossJoin(F.broadcast(lags)).groupBy("h").agg(F.sum(F.when(hit, change * F.col("c")).otherwise(0.0)).alias("delta"), F.count_if(hit).alias("active"))
+
+
+def matched_windows(points: DataFrame, event: int, pre: int, post: int, k: int = 3) -> DataFrame:
+    """(series_id, place, distance, rank): places whose ``pre`` points before are most like those before ``event``.
+
+    The distance is the root of the difference of means, half the relative difference of slopes and 0.3 of the relative
+    difference of variances; places nearer to the event than a whole window are left out."""
+    w = Window.partitionBy("series_id").orderBy("idx").rowsBetween(-pre, -1)
+    n = F.count("*").over(Window.partitionBy("series_id"))
+    v = F.col("value")
+    p = points.select("series_id", F.col("idx").alias("place"), F.avg(v).over(w).alias("m"), F.var_samp(v).over(w).alias("s2"), ((F.last(v).over(w) - F.first(v).over(w)) / (pre - 1)).alias("slope"), n.alias("n"))
+    p = p.filter((F.col("place") >= pre) & (F.col("place") + post <= F.col("n")))
+    own = p.filter(F.col("place") == event).select("series_id", F.col("m").alias("m0"), F.col("s2").alias("s0"), F.col("slope").alias("slope0"))
+    far = lambda a, b: F.abs(F.col(a) - F.col(b)) / (F.abs(F.col(b)) + 1e-9)
+    d = p.filter(F.abs(F.col("place") - event) >= pre + post).join(own, "series_id").withColumn("distance", F.sqrt(F.abs(F.col("m") - F.col("m0")) + 0.5 * far("slope", "slope0") + 0.3 * far("s2", "s0")))
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.round("distance", 9), "place"))
+    return d.withColumn("rank", rank).filter(F.col("rank") <= k).select("series_id", "place", "distance", "rank")
+
+
+def natural_experiments(points: DataFrame, window: int = 5, times: float = 4.0) -> DataFrame:
+    """(series_id, idx, jump, before, after, t): steps of at least ``times`` the median step, with the means around them."""
+    w = Window.partitionBy("series_id").orderBy("idx")
+    p = points.withColumn("jump", F.col("value") - F.lag("value").over(w))
+    typical = p.groupBy("series_id").agg(F.percentile(F.abs("jump"), F.lit(0.5)).alias("typical"))
+    pre, post = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
+    for side, frame in (("before", pre), ("after", post)):
+        p = p.withColumn(side, F.avg("value").over(frame)).withColumn(f"v_{side}", F.var_samp("value").over(frame)).withColumn(f"n_{side}", F.count("*").over(frame))
+    p = p.join(typical, "series_id").filter((F.abs("jump") >= times * F.col("typical")) & (F.col("typical") > 0) & (F.col("n_before") == window) & (F.col("n_after") == window))
+    t = F.try_divide(F.col("after") - F.col("before"), F.sqrt((F.col("v_before") + F.col("v_after")) / window))
+    return p.select("series_id", "idx", "jump", "before", "after", t.alias("t"))

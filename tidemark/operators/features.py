@@ -87,3 +87,32 @@ def changes(old: DataFrame, new: DataFrame, key: str, value: str, tolerance: flo
     both = a.join(b, F.col("k") == F.col("key"), "full_outer")
     change = F.when(F.col("k").isNull(), "added").when(F.col("key").isNull(), "removed").when(F.abs(F.col("y") - F.col("x")) > tolerance, "changed").otherwise("same")
     return both.select(F.coalesce("k", "key").alias("key"), change.alias("change"), (F.col("y") - F.col("x")).alias("delta"))
+
+
+def periodogram(points: DataFrame) -> DataFrame:
+    """(series_id, k, frequency, power) of the values padded with zeros to a power of two, power by the number of values."""
+    sizes = points.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("size", F.pow(F.lit(2), F.ceil(F.log2(F.col("n").cast("double")))).cast("int"))
+    each = points.join(sizes.filter("size >= 4"), "series_id").withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("size") / 2 - 1).cast("int"))))
+    angle = -2 * math.pi * F.col("k") * F.col("idx") / F.col("size")
+    sums = each.groupBy("series_id", "k", "n", "size").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
+    return sums.select("series_id", "k", (F.col("k") / F.col("size")).alias("frequency"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+
+
+def elapsed_weekday(points: DataFrame, step_ms: int) -> DataFrame:
+    """Adds weekday (0 .. 6, days since the first point modulo a week) and weekend (weekday of 5 or more), by idx and step."""
+    day = F.floor(F.pmod(F.col("idx").cast("bigint") * step_ms, F.lit(7 * 86_400_000)) / 86_400_000).cast("int")
+    return points.withColumn("weekday", day).withColumn("weekend", (F.col("weekday") >= 5).cast("int"))
+
+
+def last_points(points: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` points of each series."""
+    w = Window.partitionBy("series_id").orderBy(F.col("idx").desc())
+    return points.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+
+
+def error_spikes(errors: DataFrame, ratio: float = 2.0, recent: int = 5) -> DataFrame:
+    """(series_id, recent, before, ratio): series whose mean error of the last ``recent`` points is ``ratio`` times that before."""
+    n = F.count("*").over(_series())
+    p = errors.withColumn("late", F.col("idx") >= n - recent)
+    out = p.groupBy("series_id").agg(F.avg(F.when(F.col("late"), F.col("value"))).alias("recent"), F.avg(F.when(~F.col("late"), F.col("value"))).alias("before"))
+    return out.withColumn("ratio", F.try_divide("recent", "before")).filter(F.col("ratio") >= ratio)

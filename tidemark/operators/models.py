@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import INTERVAL_Z
+from tidemark.functions.stats import INTERVAL_Z, box_cox, inverse_box_cox
 from tidemark.sources.tables import arrays
 
 # fixed values: grids of smoothing parameters
@@ -141,32 +141,58 @@ def box_cox_lambda(points: DataFrame) -> DataFrame:
     return per.filter("v > 0").withColumn("score", F.round(score, 6)).groupBy("series_id").agg(F.max_by("lambda", F.struct("score", -F.col("k"))).alias("lambda"))
 
 
-def holt_winters(points: DataFrame, season: int, horizon: int, interval: int = 80) -> DataFrame:
-    """Additive Holt-Winters; all 125 grid points of a series run together. (series_id, h, point, lower, upper)."""
-    grid = np.array([(a, b, g) for a in COARSE for b in COARSE for g in COARSE])
-    z = INTERVAL_Z[interval]
+def holt_winters(points: DataFrame, season: int, horizon: int, interval: int = 80, damped: bool = False, multiplicative: bool = False) -> DataFrame:
+    """(series_id, h, point, lower, upper) by Holt-Winters; all grid points of a series run together, series over tasks.
+
+    ``damped`` adds the grid of damping factors. ``multiplicative`` needs positive series: seasons are factors, errors and
+    bands are relative, and the lower band ends at 0."""
+    phis = DAMPING if damped else [1.0]
+    grid = np.array([(a, b, g, p) for a in COARSE for b in COARSE for g in COARSE for p in phis])
+    z, used = INTERVAL_Z[interval], 4 if damped else 3
+
+    def smooth(y: np.ndarray, m: int) -> tuple[int, float, float, np.ndarray, float]:
+        alpha, beta, gamma, phi = grid.T
+        first, second = y[:m].mean(), y[m : 2 * m].mean()
+        level, trend = np.full(len(grid), first), np.full(len(grid), (second - first) / m)
+        ring, sse = np.tile(y[:m] / first if multiplicative else y[:m] - first, (len(grid), 1)), np.zeros(len(grid))
+        for t in range(m, len(y)):
+            was, ahead = ring[:, t % m].copy(), level + phi * trend
+            expected = ahead * was if multiplicative else ahead + was
+            sse += ((y[t] - expected) / (expected if multiplicative else 1.0)) ** 2
+            new = alpha * (y[t] / was if multiplicative else y[t] - was) + (1 - alpha) * ahead
+            trend = beta * (new - level) + (1 - beta) * phi * trend
+            level = new
+            ring[:, t % m] = gamma * (y[t] / level if multiplicative else y[t] - level) + (1 - gamma) * was
+        k = int(np.nanargmin(sse))
+        return k, level[k], trend[k], ring[k], sse[k]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alpha, beta, gamma = grid.T
         for batch in batches:
             for key, y in zip(batch["series_id"], batch["y"], strict=True):
-                n, m = len(y), season
-                if n < 2 * m:
+                n = len(y)
+                if n < 2 * season or multiplicative and min(y) <= 0:
                     continue
-                first, second = y[:m].mean(), y[m : 2 * m].mean()
-                level, trend = np.full(len(grid), first), np.full(len(grid), (second - first) / m)
-                ring, sse = np.tile(y[:m] - first, (len(grid), 1)), np.zeros(len(grid))
-                for t in range(m, n):
-                    was = ring[:, t % m].copy()
-                    sse += (y[t] - (level + trend + was)) ** 2
-                    new = alpha * (y[t] - was) + (1 - alpha) * (level + trend)
-                    trend = beta * (new - level) + (1 - beta) * trend
-                    level = new
-                    ring[:, t % m] = gamma * (y[t] - level) + (1 - gamma) * was
-                k = int(np.argmin(sse))
-                sigma, h = np.sqrt(sse[k] / max(n - m - 3, 1)), np.arange(1, horizon + 1)
-                point = level[k] + h * trend[k] + ring[k, (n + h - 1) % m]
-                half = z * sigma * np.sqrt(h)
-                yield pd.DataFrame({"series_id": key, "h": h, "point": point, "lower": point - half, "upper": point + half})
+                k, level, trend, ring, sse = smooth(np.asarray(y, float), season)
+                sigma, h, phi = np.sqrt(sse / max(n - season - used, 1)), np.arange(1, horizon + 1), grid[k, 3]
+                far = level + (np.cumsum(phi**h) if damped else h) * trend
+                wide, turn = z * sigma * np.sqrt(h), ring[(n + h - 1) % season]
+                point = far * turn if multiplicative else far + turn
+                lower, upper = (np.maximum(0, point * (1 - wide)), point * (1 + wide)) if multiplicative else (point - wide, point + wide)
+                yield pd.DataFrame({"series_id": key, "h": h, "point": point, "lower": lower, "upper": upper})
 
     return arrays(points).select("series_id", "y").mapInPandas(fit, "series_id string, h int, point double, lower double, upper double")
+
+
+def box_cox_forecast(points: DataFrame, horizon: int, interval: int = 80) -> DataFrame:
+    """(series_id, h, point, lower, upper): Holt on the transformed values, mapped back; the band doesn't widen with h.
+
+    Series with values at or below 0 are shifted to a smallest value of 1 first."""
+    low = points.groupBy("series_id").agg(F.min("value").alias("low"))
+    shifted = points.join(low, "series_id").withColumn("shift", F.when(F.col("low") <= 0, 1 - F.col("low")).otherwise(0.0)).withColumn("value", F.col("value") + F.col("shift"))
+    lam = box_cox_lambda(shifted)
+    plain = shifted.join(lam, "series_id").withColumn("value", box_cox(F.col("value"), F.col("lambda")))
+    f = holt_fits(plain).join(lam, "series_id").join(shifted.groupBy("series_id").agg(F.first("shift").alias("shift")), "series_id")
+    f = f.withColumn("half", INTERVAL_Z[interval] * F.sqrt(F.col("sse") / F.greatest(F.col("n") - 3, F.lit(1)))).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    ahead = F.col("level") + F.col("h") * F.col("trend")
+    back = lambda x: inverse_box_cox(x, F.col("lambda")) - F.col("shift")
+    return f.select("series_id", "h", back(ahead).alias("point"), back(ahead - F.col("half")).alias("lower"), back(ahead + F.col("half")).alias("upper"))

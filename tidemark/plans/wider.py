@@ -410,3 +410,70 @@ def threshold_alerts(spark, d):
 )
 def plugin_forecast(spark, d):
     return rounded(plugins.forecast_with(tables.daily_events(spark, d), "mean_with_slope", 7))
+
+
+@query("holt_winters_variants")
+def holt_winters_variants(spark, d):
+    points, out = tables.daily_events(spark, d), None
+    for damped in (False, True):
+        for multiplicative in (False, True):
+            f = models.holt_winters(points, 7, 7, damped=damped, multiplicative=multiplicative).select("series_id", F.lit(damped).alias("damped"), F.lit(multiplicative).alias("multiplicative"), "h", "point", "lower", "upper")
+            out = f if out is None else out.unionByName(f)
+    return rounded(out)
+
+
+@query("box_cox_forecast")
+def box_cox_forecast(spark, d):
+    return rounded(models.box_cox_forecast(tables.daily_events(spark, d), 7))
+
+
+@query(
+    "periodogram",
+    f"""WITH {DAILY}, z AS (SELECT series_id, k, any_value(n) AS n, sum(value * cos(-2 * pi() * k * idx / 32)) AS re, sum(value * sin(-2 * pi() * k * idx / 32)) AS im FROM p, range(1, 16) r(k) GROUP BY 1, 2)
+SELECT series_id, CAST(k AS INT) AS k, k / 32.0::DOUBLE AS frequency, round((re * re + im * im) / n, 2) AS power FROM z""",
+)
+def periodogram(spark, d):
+    out = features.periodogram(tables.daily_events(spark, d))
+    return out.withColumn("power", F.round("power", 2))
+
+
+@query("elapsed_weekday", f"WITH {DAILY} SELECT series_id, idx, CAST(idx % 7 AS INT) AS weekday, CASE WHEN idx % 7 >= 5 THEN 1 ELSE 0 END AS weekend FROM p")
+def elapsed_weekday(spark, d):
+    return longs(features.elapsed_weekday(tables.daily_events(spark, d), 86_400_000).select("series_id", "idx", "weekday", "weekend"), "idx")
+
+
+@query("last_points", f"WITH {DAILY} SELECT series_id, idx, round(value, 4) AS value FROM p WHERE idx >= n - 10")
+def last_points(spark, d):
+    return longs(rounded(features.last_points(tables.daily_events(spark, d), 10).select("series_id", "idx", "value")), "idx")
+
+
+@query(
+    "error_spikes",
+    f"""WITH {DAILY}, e AS (SELECT series_id, avg(value) FILTER (idx >= n - 5) AS recent, avg(value) FILTER (idx < n - 5) AS before FROM p GROUP BY 1)
+SELECT series_id, round(recent, 4) AS recent, round(before, 4) AS before, round(recent / before, 4) AS ratio FROM e WHERE recent / before >= 0.9""",
+)
+def error_spikes(spark, d):
+    return rounded(features.error_spikes(tables.daily_events(spark, d), 0.9))
+
+
+@query(
+    "matched_windows",
+    f"""WITH {DAILY}, a AS (SELECT series_id, idx AS place, n, avg(value) OVER w AS m, var_samp(value) OVER w AS s2, (last_value(value) OVER w - first_value(value) OVER w) / 4 AS slope FROM p WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT * FROM a WHERE place >= 5 AND place + 5 <= n), o AS (SELECT series_id, m AS m0, s2 AS s0, slope AS l0 FROM b WHERE place = 15),
+d AS (SELECT series_id, place, sqrt(abs(m - m0) + 0.5 * abs(slope - l0) / (abs(l0) + 1e-9) + 0.3 * abs(s2 - s0) / (abs(s0) + 1e-9)) AS distance FROM b JOIN o USING (series_id) WHERE abs(place - 15) >= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(distance, 9), place) AS rank FROM d)
+SELECT series_id, place, round(distance, 4) AS distance, rank FROM r WHERE rank <= 3""",
+)
+def matched_windows(spark, d):
+    return longs(rounded(causal.matched_windows(tables.daily_events(spark, d), 15, 5, 5)), "place", "rank")
+
+
+@query(
+    "natural_experiments",
+    f"""WITH {DAILY}, j AS (SELECT *, value - lag(value) OVER w AS jump, avg(value) OVER b AS before, var_samp(value) OVER b AS vb, count(*) OVER b AS nb, avg(value) OVER c AS after, var_samp(value) OVER c AS va, count(*) OVER c AS nc FROM p
+WINDOW w AS (PARTITION BY series_id ORDER BY idx), b AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), c AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+m AS (SELECT series_id, median(abs(jump)) AS typical FROM j GROUP BY 1)
+SELECT series_id, idx, round(jump, 4) AS jump, round(before, 4) AS before, round(after, 4) AS after, round((after - before) / sqrt((vb + va) / 5), 4) AS t FROM j JOIN m USING (series_id) WHERE abs(jump) >= 1.5 * typical AND nb = 5 AND nc = 5""",
+)
+def natural_experiments(spark, d):
+    return longs(rounded(causal.natural_experiments(tables.daily_events(spark, d), 5, 1.5)), "idx")
