@@ -11,8 +11,8 @@ about ``fit_rows`` labelled rows, never held-out ones, it reads the shorter text
 points and all of at most ``fit_total`` (whole texts: in a part of one the label could be wrong), on the driver. Scoring reads all windows of all texts in tasks, a
 bounded number of words at a time.
 
-Defined cases: null text counts as empty; a text without words is one empty window; if no labelled row of either kind
-exists the score is 0.5 for all; repeated rows get equal scores; a null ``doc_id`` is not held out; extra columns are
+Defined cases: null text counts as empty; a text without words is one empty window; if labelled rows of one kind
+only exist the score is that label for all, and 0 (nothing is rejected) if there are none; repeated rows get equal scores; a null ``doc_id`` is not held out; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -84,6 +84,7 @@ class BiGru:
             self.p |= {f"W{d}": 2 * small(w, 3 * h), f"U{d}": small(h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
         self.p |= {"att": 2 * small(2 * h, 1), "out": 3 * small(2 * h, 1), "bias": np.full(1, -2, np.float32)}
         self.calibration: np.ndarray | None = None
+        self.prior = 0.0
 
     # words to vectors ----------------------------------------------------------------------------------------------
     def grams(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +197,7 @@ class BiGru:
 
     # learning ------------------------------------------------------------------------------------------------------
     def fit(self, texts: list[str], labels: np.ndarray) -> BiGru:
+        self.prior = float(labels.mean()) if len(labels) else 0.0
         if len(set(labels.tolist())) < 2:
             return self
         data = [t.lower().encode() + b" " for t in texts]
@@ -298,7 +300,7 @@ class BiGru:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.calibration is None or not texts:
-            return np.full(len(texts), 0.5)
+            return np.full(len(texts), self.prior)
         logit, number = self.raw_scores(texts)
         w = self.calibration
         return 1 / (1 + np.exp(-np.clip(w[0] + w[1] * logit + w[2] * number, -30, 30)))
