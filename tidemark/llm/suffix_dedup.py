@@ -36,8 +36,6 @@ GRAM = 96
 #: Suffixes of one run at most; runs of a bucket that one task sorts at most.
 RUN = 4096
 HOT = 50_000
-#: Sample runs, or spans, that may be broadcast.
-_SMALL = 400_000
 _PART = 2 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -163,8 +161,6 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     found = found.selectExpr("*", "count(*) over (partition by h) as runs").filter("runs > 1 or several")
     found = stored(found, "suffix-runs")
     per_text = found.groupBy("id").agg(F.collect_list(F.struct("lo", "n", "h", (F.col("runs") > hot).alias("hot"))).alias("list"))
-    n_found = found.count()
-
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("id", pa.binary()), ("lo", pa.int64()), ("hot", pa.bool_()), ("context", pa.binary())])
         for batch in batches:
@@ -179,7 +175,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    joined = texts.join(small(per_text, n_found, _SMALL).hint("shuffle_hash"), "id") if n_found > _SMALL else texts.join(small(per_text, n_found, _SMALL), "id")
+    # texts are moved at every size: what they meet grows with them
+    joined = texts.join(per_text.hint("shuffle_hash"), "id")
     context = joined.mapInArrow(contexts, "h bigint, id binary, lo bigint, hot boolean, context binary")
     n_hot = found.filter(F.col("runs") > hot).limit(1).count()
     spans = "id binary, start bigint, end bigint"
@@ -230,7 +227,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     again = texts.join(small(repeated, n_repeated), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = once.unionByName(stored(again, "suffix-copied"))
     pieces = stored(repeated_spans(texts, length, gram, hot), "suffix-spans")
-    n_pieces = pieces.count()
     per_text = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("list"))
     per_text = per_text.join(small(repeated, n_repeated), "id", "left_anti")  # copied texts go as a whole
 
@@ -254,7 +250,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    joined = once.join(small(per_text, n_pieces, _SMALL) if n_pieces <= _SMALL else per_text.hint("shuffle_hash"), "id")
+    joined = once.join(per_text.hint("shuffle_hash"), "id")
     done = joined.mapInArrow(cut, "id binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
     done = stored(done, "suffix-done")
     copied = repeated.withColumn("copied", F.lit(True))
