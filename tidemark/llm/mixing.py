@@ -157,13 +157,19 @@ class Mix:
     def blocks(self, docs: DataFrame) -> DataFrame:
         """The mix itself, one row per slot: shard, slot, source, block, doc_ids, n_words, text (words joined by spaces)."""
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
-        places = self.rows.select("doc_id", "text_hash", F.col("source").alias("src"), "start", "sid", "size").filter("size > 0")
-        # equal rows have equal texts: each place needs one of them
-        texts = texts.dropDuplicates(["doc_id", "text_hash", "source"])
-        both = places.join(texts, places["doc_id"].eqNullSafe(texts["doc_id"]) & (places["text_hash"] == texts["text_hash"]) & places["src"].eqNullSafe(texts["source"]))
+        places = self.rows.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("source").alias("src"), "start", "sid", "size").filter("size > 0")
+        places = places.withColumn("equal", F.count("*").over(Window.partitionBy("id", "hash", "src")))
+        places = stored(places, "mix-texts")
+        single, tied = places.filter("equal = 1"), places.filter("equal > 1")
+        on = lambda t, p: t["doc_id"].eqNullSafe(p["id"]) & (t["text_hash"] == p["hash"]) & t["source"].eqNullSafe(p["src"])
+        both = texts.join(single, on(texts, single))
+        if not tied.isEmpty():  # rows repeated with the same id and text: each place needs one of them
+            some = tied.select("id", "hash", "src").distinct()
+            one = texts.join(small(some, some.count()), on(texts, some), "left_semi").dropDuplicates(["doc_id", "text_hash", "source"])
+            both = both.unionByName(one.join(tied, on(one, tied)))
         w = self.block_words
         words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
-        both = both.select(places["doc_id"], "sid", "start", "size", words.alias("words"))
+        both = both.select("doc_id", "sid", "start", "size", words.alias("words"))
         first, last = F.floor(F.col("start") / w), F.floor((F.col("start") + F.col("size") - 1) / w)
 
         def piece(block):
