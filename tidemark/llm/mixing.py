@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, most_repeats: float = 3.0) -> DataFrame:
     """One row per source: sid, source, source_size, target. ``sizes``: (source, size); windows see a row per source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("sid", F.row_number().over(by_name) - 1).withColumn("weight", (F.col("sid") % 3 + 1).cast("double"))
+    # a bigint like that of the slots: a cast in their join would hide that blocks are already dealt by (sid, block)
+    per = per.withColumn("sid", (F.row_number().over(by_name) - 1).cast("bigint")).withColumn("weight", (F.col("sid") % 3 + 1).cast("double"))
     per = per.withColumn("cap", most_repeats * F.col("source_size"))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
