@@ -49,12 +49,12 @@ def cusum(spark, d):
     f"""WITH {ORDERS}, a AS (SELECT series_id, idx, abs(value - avg(value) OVER s) / stddev_pop(value) OVER s AS score,
 coalesce(regr_slope(value, idx) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.0) AS before,
 coalesce(regr_slope(value, idx) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0.0) AS after FROM p WINDOW s AS (PARTITION BY series_id))
-SELECT series_id, idx, round(score, 4) AS score, round(before, 2) AS before, round(after, 2) AS after,
+SELECT series_id, idx, round(score, 4) AS score, round(before, 3) AS before, round(after, 3) AS after,
 CASE WHEN before = 0 AND after = 0 THEN 'isolated_spike' WHEN before <> after THEN 'trend_reversal' WHEN score > 3 THEN 'extreme_outlier' ELSE 'moderate_deviation' END AS pattern FROM a WHERE score > 2.5""",
 )
 def anomaly_patterns(spark, d):
     out = longs(anomalies.anomaly_patterns(tables.daily_orders(spark, d)), "idx")
-    return out.withColumns({"score": F.round("score", 4), "before": F.round("before", 2), "after": F.round("after", 2)})
+    return out.withColumns({"score": F.round("score", 4), "before": F.round("before", 3), "after": F.round("after", 3)})
 
 
 @query(
