@@ -168,6 +168,20 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.BiGru().fitted(docs, labels.filter("toxic = 1")).score(docs).collect()} == {1.0}
 
 
+def test_toxicity_reads_text_without_blanks():
+    data = ("短い。" + "長い文章は空白を持たない。" * 40 + " plain words " + "x" * 300 + " " + "y" * 64).encode()
+    raw, start, end, _ = toxicity.words_of(data)
+    assert max(end - start) <= 64 and (np.diff(start) > 0).all() and [data[a:b].decode() for a, b in zip(start, end)][-1] == "y" * 64
+    covered = {k for a, b in zip(start, end) for k in range(a, b)}
+    assert covered == {k for k, c in enumerate(data) if c != 32}
+    r = random.Random(3)
+    prose = lambda n: "".join(chr(0x4E00 + r.randrange(60)) for _ in range(n))
+    bad = np.array([k % 2 for k in range(800)])
+    texts = [prose(r.randint(30, 60)) + ("鬱魔厄鬼" if b else "") + prose(20) for b in bad]
+    model = toxicity.BiGru().fit(texts[:600], bad[:600])
+    assert ((model.scores([t.encode() for t in texts[600:]]) >= 0.5) == bad[600:]).mean() > 0.8
+
+
 def test_gradients():
     m = toxicity.BiGru(word_slots=8, gram_slots=8)
     m.p = {k: v.astype(float) for k, v in m.p.items()}

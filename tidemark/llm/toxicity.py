@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Every text is cut into words (runs of ASCII letters and digits and of all bytes from 0x80, lower-cased) and scored in
-windows of ``WINDOW`` words that overlap by half, to its end. A word's input is the sum of its own hashed vector and the
+Every text is cut into words (runs of ASCII letters and digits and of all bytes from 0x80, lower-cased; a run of more than
+``LONG`` bytes, as in scripts without blanks, into overlapping words of about ``2 * STEP`` bytes, between characters) and
+scored in windows of ``WINDOW`` words that overlap by half, to its end. A word's input is the sum of its own hashed vector and the
 mean of hashed vectors of its character 3- to 5-grams with a mark at either end. Forward and backward gated units read
 a window; attention pools their states to one logit. A text's logit is the largest of its windows; it is calibrated by
 logistic regression together with the logarithm of the number of windows.
@@ -30,6 +31,9 @@ from tidemark.llm.labelled import held_out, teaching_sample
 
 WINDOW = 32
 STRIDE = 16
+#: Bytes of the longest run that is one word, and bytes between the beginnings of words in longer runs.
+LONG = 64
+STEP = 12
 #: Windows that run through the network at once, and bytes of text that are cut into words at once.
 _LANES = 2048
 _BYTES = 2 << 20
@@ -56,12 +60,27 @@ _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x80:] = _IS_WORD[48:58] = _IS_WORD[97:123] = True
 
 
+def _parted(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as words: those of more than LONG bytes as words that begin every STEP bytes and reach over two steps, to the run's end."""
+    n = np.where(end - start > LONG, -(-(end - start) // STEP) - 1, 1)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    left, right, many = np.repeat(start, n), np.repeat(end, n), np.repeat(n, n)
+
+    def border(steps: np.ndarray) -> np.ndarray:
+        at = left + STEP * steps
+        for _ in range(3):  # back to the first byte of a character
+            at = at - ((steps > 0) & (raw[np.minimum(at, len(raw) - 1)] & 0xC0 == 0x80))
+        return at
+
+    return (left, right) if (n == 1).all() else (border(k), np.where(k + 1 < many, border(k + 2), right))
+
+
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, start, end, hash) of the words in lower-cased UTF-8."""
     raw = np.frombuffer(data, np.uint8)
     inside = _IS_WORD[raw]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = _parted(raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
     sums, hashes = None, np.zeros(len(start), np.uint64)
     for at in range(0, len(raw), _BYTES):  # words that reach over a border of the pieces are cut there for their hash
         sums = np.concatenate(([np.uint64(0)], np.cumsum((raw[at : at + _BYTES].astype(np.uint64) + np.uint64(1)) * _POWERS[: min(_BYTES, len(raw) - at)])))
@@ -88,8 +107,8 @@ class BiGru:
 
     # words to vectors ----------------------------------------------------------------------------------------------
     def grams(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the character n-grams of words, and where each word's begin; very long words by their first 64 bytes."""
-        size = np.minimum(end - start, 64) + 2
+        """Slots of the character n-grams of words, and where each word's begin."""
+        size = end - start + 2
         base = np.concatenate(([0], np.cumsum(size)))
         at = np.arange(base[-1]) - np.repeat(base[:-1], size)
         source = np.repeat(start, size) + at - 1
