@@ -124,6 +124,26 @@ def test_leaks(bench):
     assert decontaminate.leaks(docs_df.limit(0), items_df).count() == 0 and decontaminate.leaks(docs_df, items_df.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_templates(spark):
+    """Items that share an opening and a closing: the rarest shingles stand between an insertion and a deletion."""
+    opening, closing = [f"open{k}" for k in range(50)], [f"close{k}" for k in range(74)]
+    items = [(j, " ".join([*opening, *(f"mid{j}x{k}" for k in range(30)), *closing])) for j in range(4)]
+    w = items[0][1].split()
+    docs = [(0, " ".join([*w[:10], *"one two three four five".split(), *w[10:81], *w[86:], *(f"after{k}" for k in range(30))])), (1, " ".join(w[60:] + w[:60])), (2, " ".join(f"word{k}" for k in range(400)))]
+    sh = lambda x: [tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)]
+    want = {}
+    for i, x in docs:
+        for j, y in items:
+            s, t = sh(x), collections.Counter(sh(y))
+            m = sum(t.values())
+            n = max(sum((collections.Counter(s[a : a + m]) & t).values()) for a in range(max(1, len(s) - m + 1)))
+            if n / (2 * m - n) >= 0.8 and len(s) >= m:
+                want[i, j] = n / (2 * m - n)
+    assert (0, 0) in want and (1, 0) in want
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), radius=40)
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == pytest.approx(want)
+
+
 def labelled(spark, bad):
     r = random.Random(11)
     word = lambda: "".join(r.choice(["an", "re", "ti", "on", "el", "st"]) for _ in range(r.randint(1, 4)))

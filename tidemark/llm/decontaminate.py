@@ -6,8 +6,10 @@ if it is shorter) has a weighted Jaccard similarity, sum of smaller counts by su
 ``threshold``.
 
 * *Windows*: a window that similar must hold one of the item's first shingles in order of rarity whose counts exceed
-  ``1 - threshold`` of it. Only windows around such shingles are made, aligned by the shingle's places in item and
-  document. This loses no alignment of equal shingles, and clean text makes no window at all.
+  ``1 - threshold`` of it. Around these, every window is considered that begins with one of the item's shingles (or
+  ends with the document) and whose places with the item's shingles suffice. No other window holds more of the item: one
+  that begins with a foreign shingle loses nothing by moving on. Of two that follow each other the second is left out if
+  what it has beyond the first is all foreign. Clean text makes no window at all.
 * *Multi-index*: distinct windows and items get a 64-bit SimHash, cut into ``radius + 1`` blocks. Two fingerprints
   within ``radius`` agree in one block at least, so that the join on (size, block, value) finds all of them. At a
   similarity of 0.8 a pair differs in 10 of 64 bits on average; 19 leaves out less than one pair in a thousand.
@@ -61,14 +63,14 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame, threshold: float) -> DataFrame:
-    """(h, m, offset): where a prefix shingle stands in items of m shingles."""
-    each = items.select("item", "m", F.posexplode("t").alias("offset", "h"))
+    """(h, item): the prefix shingles of items."""
+    each = items.select("item", "m", F.explode("t").alias("h"))
     counted = each.groupBy("item", "m", "h").agg(F.count("*").alias("n"))
     known = counted.join(counted.groupBy("h").agg(F.count("*").alias("df")), "h")
     order = Window.partitionBy("item").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
     need = F.col("m") - F.ceil(F.lit(threshold) * F.col("m") - 1e-9) + 1
     prefix = known.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).filter(F.col("before") < need)
-    return each.join(prefix.select("item", "h"), ["item", "h"]).select("h", "m", "offset").distinct()
+    return prefix.select("h", "item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -79,14 +81,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     hashed = shingled(rows, F.col("text"), "h").select("doc_id", "text_hash", "h")
     each = hashed.select("doc_id", "text_hash", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "h"))
     met = each.join(small(anchors, anchors.count()), "h")
-    start = F.greatest(F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("m")), F.lit(0))
-    met = met.select("doc_id", "text_hash", start.alias("start"), "m").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "m")).alias("windows"))
-    met = stored(met.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "windows"), "leak-places")
+    met = met.groupBy("doc_id", "text_hash", "item").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    met = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "first", "last")).alias("near"))
+    met = stored(met.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "near"), "leak-places")
     some = rows.join(small(met, met.count()), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
-    some = shingled(some, F.col("text"), "h").select("doc_id", "text_hash", "windows", "h")
-    # h is named twice below, so that the planner doesn't put its making inside the lambda
-    cut = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["m"].alias("m"), F.slice("h", w["start"] + 1, F.least(w["m"], F.size("h"))).alias("s")))
-    windows = some.select("doc_id", "text_hash", F.explode_outer(cut).alias("w")).select("doc_id", "text_hash", "w.*")
+    some = shingled(some, F.col("text"), "h").select("doc_id", "text_hash", "h", F.explode_outer("near").alias("n")).select("doc_id", "text_hash", "h", "n.*")
+    some = some.join(small(items, items.count()), "item").select("doc_id", "text_hash", "h", "m", "t", "first", "last")
+    # places of the item's shingles in all windows that hold a place from first to last
+    low = F.greatest(F.col("first") - F.col("m") + 1, F.lit(0))
+    some = some.withColumn("low", low).withColumn("met", F.slice("h", F.col("low") + 1, F.col("last") + F.col("m") - F.col("low")))
+    some = some.withColumn("places", F.filter(F.transform("met", lambda x, i: F.when(F.array_contains("t", x), F.col("low") + i)), lambda p: p.isNotNull()))
+    some = some.filter(F.size("places") >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9))
+    some = some.withColumn("starts", F.array_sort(F.array_distinct(F.transform("places", lambda p: F.greatest(F.least(p, F.size("h") - F.col("m")), F.lit(0))))))
+    within = lambda a, b: F.filter("places", lambda p: (p >= a) & (p < b))
+    more = lambda s, k: (k == 0) | (F.size(within(F.get("starts", k - 1) + F.col("m"), s + F.col("m"))) > 0)
+    enough = lambda s: F.size(within(s, s + F.col("m"))) >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
+    some = some.withColumn("starts", F.filter("starts", lambda s, k: more(s, k) & enough(s)))
+    cut = F.transform("starts", lambda a: F.struct(a.alias("start"), F.col("m").alias("m"), F.slice("h", a + 1, F.least(F.col("m"), F.size("h"))).alias("s")))
+    windows = some.select("doc_id", "text_hash", F.explode_outer(cut).alias("w")).select("doc_id", "text_hash", "w.*").filter("start is not null")
     windows = stored(windows.withColumn("key", F.sha2(F.concat_ws(",", "m", F.array_join(F.transform("s", lambda x: x.cast("string")), ",")), 256)), "leak-windows")
 
     # copies of a passage have equal windows: each is compared once
@@ -102,7 +114,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     pairs = pairs.filter(F.col("similarity") >= threshold - 1e-12).select("key", "item_id", "hamming", "similarity", (F.size("s") + WORDS - 1).cast("bigint").alias("n_words"))
     found = windows.select("doc_id", "text_hash", "start", "key").join(pairs, "key")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words", "hamming")).alias("best")
-    found = found.groupBy("doc_id", "text_hash", "item_id").agg(best, F.count("*").alias("n_windows"))
+    found = found.groupBy("doc_id", "text_hash", "item_id").agg(best, F.count_distinct("start").alias("n_windows"))
     return found.select("doc_id", "text_hash", "item_id", (-F.col("best.start")).cast("bigint").alias("word_start"), "best.n_words", "best.similarity", "best.hamming", "n_windows")
 
 
