@@ -3,11 +3,13 @@
 DataFrame functions only. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-cased.
 
 * *Phrases* (base): places where the words of a fixed phrase stand consecutively, counted in every whole text.
-* *Templates* (method): a block (a line; for long templates also eight consecutive lines, half overlapping) matches a
+* *Templates* (method): a block (a line; for long templates also eight consecutive lines, half overlapping; and, whatever
+  the lines, every run of a quarter more words than the template has) matches a
   template when it holds at least ``threshold`` of the template's distinct words. The join is exact: words are ordered
   by their count over all documents, rarest first; a matching block must hold one of the template's first
   ``|T| - need + 1`` words (prefix filter), at least ``need`` words (length filter), and enough words must be left
-  behind the first common one on both sides (positional filter). What is left is verified by its full overlap.
+  behind the first common one on both sides (positional filter). What is left is verified by its full overlap. Runs of
+  words are looked for around each of the prefix words' places, which every matching run holds.
 
 Defined cases: null text counts as empty; rows are independent, so that ties and repeated rows each get their result;
 an empty table gives an empty result; extra columns are ignored; texts of any length are read whole.
@@ -65,6 +67,12 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted({w for w in re.split(_SEPARATOR, v.lower()) if w}) for k, v in templates.items()}
 
 
+def run_words(template: str) -> int:
+    """Words of the runs that are compared with a template: a quarter more than it has, rounded down."""
+    n = len([w for w in re.split(_SEPARATOR, template.lower()) if w])
+    return n + n // 4
+
+
 def _needed(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
@@ -76,7 +84,9 @@ def word_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, line, lines, containment)."""
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, line, lines, word, words, containment).
+
+    Of a match in lines word and words are null, of one in a run of words line and lines."""
     spark = docs.sparkSession
     sets = template_words(templates)
     vocabulary = sorted({w for s in sets.values() for w in s})
@@ -87,6 +97,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     need = {k: _needed(len(s), threshold) for k, s in ordered.items()}
     prefixes = {k: s[: len(s) - need[k] + 1] for k, s in ordered.items()}
     rare = sorted({w for p in prefixes.values() for w in p})
+    width = {k: run_words(templates[k]) for k in ordered}
+    most = max(width.values(), default=1)
     array = lambda xs: F.array(*map(F.lit, xs))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lowered(text_or_empty()).alias("text")).withColumn("words", words_of(F.col("text")))
@@ -106,8 +118,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     # the lines' template words, in global order, of texts that hold a word of some prefix
     lines = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(array(order), words_of(line)))
     rows = rows.withColumn("lines", F.when(F.arrays_overlap("words", array(rare)), lines))
+    # places of the prefixes' words, each with the words of all runs that hold it
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
+    around = lambda i: F.slice("words", F.greatest(i - (most - 1), F.lit(0)) + 1, F.least(i, F.lit(most - 1)) + most)
+    rows = rows.withColumn("at", F.when(F.arrays_overlap("words", array(rare)), places))
+    rows = rows.withColumn("places", F.transform("at", lambda i: F.struct(i.alias("at"), F.get("words", i).alias("word"), F.greatest(i - (most - 1), F.lit(0)).alias("low"), around(i).alias("near"))))
     rows = rows.select(
-        "row", "doc_id", "n_words", total.cast("bigint").alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"), "lines"
+        "row", "doc_id", "n_words", total.cast("bigint").alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"), "lines", "places"
     )
     single = F.transform("lines", lambda x, i: F.struct(i.alias("line"), F.lit(1).alias("lines"), x.alias("held")))
     starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(BLOCK_LINES // 2))
@@ -115,8 +132,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     blocks = F.filter(F.concat(single, F.when(F.size("lines") > 1, several).otherwise(F.slice(single, 1, 0))), lambda b: F.arrays_overlap(b["held"], array(rare)))
     rows = stored(rows.withColumn("blocks", blocks).drop("lines"), "license-rows")
 
-    index = [(w, i, k, len(ordered[k]), need[k], ordered[k]) for k, p in prefixes.items() for i, w in enumerate(p)]
-    index = spark.createDataFrame(index, "word string, i int, label string, n_template int, need int, template array<string>")
+    index = [(w, i, k, len(ordered[k]), need[k], ordered[k], width[k]) for k, p in prefixes.items() for i, w in enumerate(p)]
+    index = spark.createDataFrame(index, "word string, i int, label string, n_template int, need int, template array<string>, width int")
     held = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.*").withColumn("block", F.struct("line", "lines"))
     found = held.select("row", "block", "held", F.posexplode("held").alias("j", "word")).join(index, "word")
     found = found.filter((F.size("held") >= F.col("need")) & ((F.col("block.lines") == 1) | (F.col("n_template") >= LONG_TEMPLATE)))
@@ -124,9 +141,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     found = found.groupBy("row", "block", "label").agg(F.first("held").alias("held"), F.first("template").alias("template"), F.first("need").alias("need"))
     overlap = F.size(F.array_intersect("held", "template"))
     found = found.filter(overlap >= F.col("need")).withColumn("containment", overlap / F.size("template"))
-    match = F.struct("label", F.col("block.line").alias("line"), F.col("block.lines").alias("lines"), "containment")
+    in_lines = found.select("row", "label", F.col("block.line").alias("line"), F.col("block.lines").alias("lines"), F.lit(None).cast("int").alias("word"), F.lit(None).cast("int").alias("words"), "containment")
+
+    runs = rows.select("row", F.explode("places").alias("p")).select("row", "p.*").join(F.broadcast(index), "word")
+    runs = runs.filter(F.size(F.array_intersect("near", "template")) >= F.col("need"))
+    # the runs from the first that holds the place to the last, none beyond the text's ends unless it is shorter
+    end = F.greatest(F.least(F.col("at"), F.col("low") + F.size("near") - F.col("width")), F.lit(0))
+    begin = F.least(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), end)
+    held = F.transform(F.sequence(begin, end), lambda a: F.struct(F.size(F.array_intersect(F.slice("near", a - F.col("low") + 1, F.col("width")), F.col("template"))).alias("n"), (-a).alias("back")))
+    runs = runs.withColumn("run", F.array_max(held)).filter(F.col("run.n") >= F.col("need"))
+    in_runs = runs.select("row", "label", F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("lines"), (-F.col("run.back")).alias("word"), F.col("width").alias("words"), (F.col("run.n") / F.size("template")).alias("containment"))
+    found = in_lines.unionByName(in_runs.distinct())
+    match = F.struct("label", "line", "lines", "word", "words", "containment")
     found = found.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.array_sort(F.collect_list(match)).alias("matches"))
-    out = rows.drop("blocks").join(found, "row", "left")
+    out = rows.drop("blocks", "places").join(found, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
