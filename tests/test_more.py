@@ -119,3 +119,13 @@ def test_box_cox_of_shifted(spark):
     rows = models.box_cox_forecast(series(spark, [k * k - 5.0 for k in range(30)]), 3).orderBy("h").collect()
     assert all(r["lower"] <= r["point"] <= r["upper"] for r in rows)
     assert rows[0]["point"] == pytest.approx(30 * 30 - 5, rel=0.05)
+
+
+def test_human_errors_of_all_parts(spark, tmp_path):
+    from tidemark.plans import registry
+
+    rows = [(p, f"1995-01-{k + 1:02d}", 500.0 if k == 3 else 11.0 + k / 7) for p in (7, 31, 5000) for k in range(8)]
+    line = spark.createDataFrame(rows, "l_partkey bigint, l_shipdate string, l_quantity double").selectExpr("l_partkey", "cast(l_shipdate as date) l_shipdate", "l_quantity")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.queries()["human_errors"](spark, str(tmp_path)).filter("kind = 'potential_unit_mismatch'")
+    assert sorted(r["series_id"] for r in got.collect()) == ["31", "5000", "7"]

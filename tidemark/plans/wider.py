@@ -381,7 +381,7 @@ c AS (SELECT series_id, count(*) AS n, count(*) FILTER (ratio > 10 OR ratio < 0.
 SELECT series_id, 'potential_unit_mismatch' AS kind, 'high' AS severity, jumps AS count FROM c WHERE jumps > 0 UNION ALL SELECT series_id, 'human_adjustment_pattern', 'low', tens FROM c WHERE tens > 0.3 * n""",
 )
 def human_errors(spark, d):
-    line = tables.table(spark, d, "lineitem").filter("l_partkey <= 30")
+    line = tables.table(spark, d, "lineitem")
     per = line.groupBy(F.col("l_partkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("value"))
     return quality.human_errors(tables.indexed(per))
 
