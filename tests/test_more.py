@@ -129,3 +129,16 @@ def test_human_errors_of_all_parts(spark, tmp_path):
     line.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.queries()["human_errors"](spark, str(tmp_path)).filter("kind = 'potential_unit_mismatch'")
     assert sorted(r["series_id"] for r in got.collect()) == ["31", "5000", "7"]
+
+
+def test_holes_of_all_events(spark, tmp_path):
+    """Hours 0 to 9 without 4 and 5; every third event_id counts as well."""
+    from tidemark.plans import registry
+
+    rows = [(k, "a", datetime.datetime(2024, 1, 1, h, 30), float(h)) for k, h in enumerate([0, 1, 2, 3, 6, 7, 8, 9])]
+    spark.createDataFrame(rows, "event_id bigint, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert [(r["first"], r["last"], r["duration"]) for r in run("missing_runs")] == [(4, 5, 2)]
+    assert [(r["missing"], r["coverage"]) for r in run("coverage")] == [(2, 80.0)]
+    assert sorted((r["idx"], r["value"]) for r in run("impute_linear")) == [(h, 4.5 if h in (4, 5) else float(h)) for h in range(10)]
+    assert {r["idx"]: r["value"] for r in run("impute_seasonal") if r["idx"] not in (4, 5)} == {h: float(h) for h in (0, 1, 2, 3, 6, 7, 8, 9)}
