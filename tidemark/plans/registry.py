@@ -355,7 +355,7 @@ def _holes(spark, d):
 
 
 _HOLES = """
-per AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS t, sum(value) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2),
+per AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS t, sum(value) AS value FROM events GROUP BY 1, 2),
 hours AS (SELECT series_id, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM per GROUP BY 1),
 p AS (SELECT series_id, t, value, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx FROM hours LEFT JOIN per USING (series_id, t))"""
 
