@@ -11,8 +11,9 @@ if it is shorter) has a weighted Jaccard similarity, sum of smaller counts by su
   that begins with a foreign shingle loses nothing by moving on. Of two that follow each other the second is left out if
   what it has beyond the first is all foreign. Clean text makes no window at all.
 * *Multi-index*: distinct windows and items get a 64-bit SimHash, cut into ``radius + 1`` blocks. Two fingerprints
-  within ``radius`` agree in one block at least, so that the join on (size, block, value) finds all of them. At a
-  similarity of 0.8 a pair differs in 10 of 64 bits on average; 19 leaves out less than one pair in a thousand.
+  within ``radius`` agree in one block at least, so that the join on (item, block, value) finds all of them; the item is
+  the one whose rare shingle the window holds, as every window that similar to it does. At a similarity of 0.8 a pair
+  differs in 10 of 64 bits on average; how many pairs 19 leaves out is measured in the tests.
 * *Verification*: pairs within the radius are compared shingle by shingle.
 
 One row per (document, item) found. Defined cases: null text counts as empty; items of fewer than five words and
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stored, table, text_or_empty
+from tidemark.llm.common import small, stored, table, text_or_empty, without
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -80,13 +81,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     hashed = shingled(rows, F.col("text"), "h").select("doc_id", "text_hash", "h")
     each = hashed.select("doc_id", "text_hash", F.size("h").alias("size"), F.posexplode_outer("h").alias("at", "h"))
-    met = each.join(small(anchors, anchors.count()), "h")
+    met = each.join(small(anchors), "h")
     met = met.groupBy("doc_id", "text_hash", "item").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     met = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "first", "last")).alias("near"))
     met = stored(met.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "near"), "leak-places")
-    some = rows.join(small(met, met.count()), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
+    some = rows.join(small(met), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
     some = shingled(some, F.col("text"), "h").select("doc_id", "text_hash", "h", F.explode_outer("near").alias("n")).select("doc_id", "text_hash", "h", "n.*")
-    some = some.join(small(items, items.count()), "item").select("doc_id", "text_hash", "h", "m", "t", "first", "last")
+    some = some.join(small(items), "item").select("doc_id", "text_hash", "h", "m", "t", "first", "last")
     # places of the item's shingles in all windows that hold a place from first to last
     low = F.greatest(F.col("first") - F.col("m") + 1, F.lit(0))
     some = some.withColumn("low", low).withColumn("met", F.slice("h", F.col("low") + 1, F.col("last") + F.col("m") - F.col("low")))
@@ -98,21 +99,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     enough = lambda s: F.size(within(s, s + F.col("m"))) >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
     some = some.withColumn("starts", F.filter("starts", lambda s, k: more(s, k) & enough(s)))
     cut = F.transform("starts", lambda a: F.struct(a.alias("start"), F.col("m").alias("m"), F.slice("h", a + 1, F.least(F.col("m"), F.size("h"))).alias("s")))
-    windows = some.select("doc_id", "text_hash", F.explode_outer(cut).alias("w")).select("doc_id", "text_hash", "w.*").filter("start is not null")
+    windows = some.select("doc_id", "text_hash", "item", F.explode_outer(cut).alias("w")).select("doc_id", "text_hash", "item", "w.*").filter("start is not null")
     windows = stored(windows.withColumn("key", F.sha2(F.concat_ws(",", "m", F.array_join(F.transform("s", lambda x: x.cast("string")), ",")), 256)), "leak-windows")
 
     # copies of a passage have equal windows: each is compared once
-    distinct = windows.groupBy("key", "m").agg(F.first("s").alias("s"))
-    marked = distinct.withColumn("f", F.expr(_FINGERPRINT)).select("key", "m", "f", F.explode(_blocks(radius)).alias("b")).select("key", "m", "f", "b.*")
-    targets = items.withColumn("s", F.col("t")).withColumn("f", F.expr(_FINGERPRINT)).select("item", "m", F.col("f").alias("g"), F.explode(_blocks(radius)).alias("b")).select("item", "m", "g", "b.*")
-    near = marked.join(targets, ["m", "block", "value"]).withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("g")))).filter(F.col("hamming") <= radius)
+    distinct = windows.groupBy("item", "key", "m").agg(F.first("s").alias("s"))
+    marked = distinct.withColumn("f", F.expr(_FINGERPRINT)).select("item", "key", "f", F.explode(_blocks(radius)).alias("b")).select("item", "key", "f", "b.*")
+    targets = items.withColumn("s", F.col("t")).withColumn("f", F.expr(_FINGERPRINT)).select("item", F.col("f").alias("g"), F.explode(_blocks(radius)).alias("b")).select("item", "g", "b.*")
+    # blocks of three or four bits agree by chance; the item, by a shingle of which each window was made, keeps candidates few
+    near = marked.join(targets, ["item", "block", "value"]).withColumn("hamming", F.bit_count(F.col("f").bitwiseXOR(F.col("g")))).filter(F.col("hamming") <= radius)
     near = near.select("key", "item", "hamming").distinct()
-    pairs = near.join(distinct, "key").join(items.select("item", "item_id", "t"), "item")
+    pairs = near.join(distinct, ["item", "key"]).join(items.select("item", "item_id", "t"), "item")
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     shared = F.aggregate(F.array_distinct("t"), F.lit(0), lambda a, x: a + F.least(count(F.col("s"), x), count(F.col("t"), x)))
     pairs = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("s") + F.size("t") - F.col("shared")))
-    pairs = pairs.filter(F.col("similarity") >= threshold - 1e-12).select("key", "item_id", "hamming", "similarity", (F.size("s") + WORDS - 1).cast("bigint").alias("n_words"))
-    found = windows.select("doc_id", "text_hash", "start", "key").join(pairs, "key")
+    pairs = pairs.filter(F.col("similarity") >= threshold - 1e-12).select("item", "key", "item_id", "hamming", "similarity", (F.size("s") + WORDS - 1).cast("bigint").alias("n_words"))
+    found = windows.select("doc_id", "text_hash", "start", "item", "key").join(pairs, ["item", "key"])
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words", "hamming")).alias("best")
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(best, F.count_distinct("start").alias("n_windows"))
     return found.select("doc_id", "text_hash", "item_id", (-F.col("best.start")).cast("bigint").alias("word_start"), "best.n_words", "best.similarity", "best.hamming", "n_windows")
@@ -120,10 +122,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that leak an item, all columns."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    found = stored(found, "leak-decisions")
-    on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    return docs.join(small(found, found.count()), on, "left_anti")
+    found = stored(leaks(docs, benchmark).select("doc_id", "text_hash").distinct(), "leak-decisions")
+    return without(docs, found, F.xxhash64(text_or_empty()))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

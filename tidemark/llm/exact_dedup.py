@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, small, stored, table, text_or_empty
+from tidemark.llm.common import one_each, scratch, small, stored, table, text_or_empty, without
 
 #: Blanks that need a change: longer runs, or one that isn't a space.
 _BLANKS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
@@ -99,11 +99,10 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 200_000, digest=sha256_of)
     index = DigestIndex(spark, memtable_rows=memtable_rows)
     entries = index.compact(index.ingest(keys.select("digest", "doc_id", "rid")))
     repeated = entries.filter("n > 1").select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
-    groups = repeated.count()
 
     # byte verification of the hits
     tasks = F.ceil(F.col("group_size") / _HITS_PER_TASK).cast("bigint")
-    hits = texts.withColumn("digest", digest(F.col("norm"))).join(small(repeated, groups), "digest").withColumn("tasks", tasks)
+    hits = texts.withColumn("digest", digest(F.col("norm"))).join(small(repeated), "digest").withColumn("tasks", tasks)
     keeps = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "tasks").agg(F.min("norm").alias("kept_norm"))
     keeps = keeps.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"))
     hits = hits.withColumn("task", F.pmod(F.monotonically_increasing_id(), F.col("tasks")))
@@ -112,7 +111,7 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 200_000, digest=sha256_of)
         "dedup-strangers",
     )
 
-    out = keys.join(small(repeated, groups), "digest", "left")
+    out = keys.join(small(repeated), "digest", "left")
     out = out.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -138,13 +137,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     per_key = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count("*").alias("rows"))
     odd = stored(per_key.filter("not any_kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "any_kept", "rows"), "dedup-drops")
     gone, ties = odd.filter("not any_kept"), odd.filter("any_kept")
-    keyed = docs.withColumn("_key", F.sha2(normalised(text_or_empty()), 256))
-    on = lambda other: keyed["doc_id"].cast("bigint").eqNullSafe(other["_id"]) & (keyed["_key"] == other["_sha"])
+    key = F.sha2(normalised(text_or_empty()), 256)
     if ties.isEmpty():
-        return keyed.join(small(gone, gone.count()), on(gone), "left_anti").drop("_key")
-    single = keyed.join(small(odd, odd.count()), on(odd), "left_anti").drop("_key")
-    tied = keyed.join(ties, on(ties), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return single.unionByName(tied)
+        return without(docs, gone.select("_id", "_sha"), key)
+    return without(docs, odd.select("_id", "_sha"), key).unionByName(one_each(without(docs, ties.select("_id", "_sha"), key, "left_semi"), key))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

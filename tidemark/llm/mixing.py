@@ -87,7 +87,7 @@ class Mix:
 
         # places in the stream: chunks first, then the rows of a chunk
         chunks = max(1, -(-rows.count() // _CHUNK_ROWS))
-        rows = rows.join(small(known, n_sources), rows["source"].eqNullSafe(known["name"])).drop("name")
+        rows = rows.join(small(known), rows["source"].eqNullSafe(known["name"])).drop("name")
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
         totals = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,7 +166,7 @@ class Mix:
         both = texts.join(single, on(texts, single))
         if not tied.isEmpty():  # rows repeated with the same id and text: each place needs one of them
             some = tied.select("id", "hash", "src").distinct()
-            one = texts.join(small(some, some.count()), on(texts, some), "left_semi").dropDuplicates(["doc_id", "text_hash", "source"])
+            one = texts.join(small(some), on(texts, some), "left_semi").dropDuplicates(["doc_id", "text_hash", "source"])
             both = both.unionByName(one.join(tied, on(one, tied)))
         w = self.block_words
         words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
@@ -182,7 +182,7 @@ class Mix:
         packed = cut.groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("begin", "doc_id", "n", "text"))).alias("parts"))
         packed = packed.select("sid", "block", F.col("parts.doc_id").alias("doc_ids"), F.aggregate("parts.n", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_words"), F.array_join("parts.text", " ").alias("text"))
         names = self.sources.select("sid", "source")
-        out = self.slots.join(packed, ["sid", "block"]).join(small(names, names.count()), "sid")
+        out = self.slots.join(packed, ["sid", "block"]).join(small(names), "sid")
         return out.select("shard", "slot", "source", "block", "doc_ids", "n_words", "text")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stored, table, text_or_empty
+from tidemark.llm.common import one_each, slices, small, stored, table, text_or_empty, without
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -304,7 +304,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, keep_text_h
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("node", "root", "copies", "blocks", "block")} | {"shingles": pa.array(sets, pa.binary())})
 
-    texts = keyed.join(small(members, members.count()), "sha").select("node", "root", "copies", "blocks", "block", F.col("text").cast("binary").alias("text"))
+    texts = keyed.join(small(members), "sha").select("node", "root", "copies", "blocks", "block", F.col("text").cast("binary").alias("text"))
     cuts = texts.mapInArrow(cut, "node bigint, root bigint, copies bigint, blocks int, block int, shingles binary")
     # a block meets itself and every other block of its group
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("p"), F.greatest(x, F.col("block")).alias("q")))
@@ -328,11 +328,11 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, keep_text_h
     known = per_sha.filter("copies > 1").select("sha", "copies").join(repeated, "sha", "right")
     known = stored(known.select("sha", F.coalesce("copies", F.lit(1)).alias("copies"), "links", F.coalesce(F.col("class").cast("string"), F.hex("sha")).alias("class")), "join-known")
     n = known.count()
-    out = stored(rids.join(small(known, n), "sha", "left").select("doc_id", "rid", "_hash", "class", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "join-out")
+    out = stored(rids.join(small(known), "sha", "left").select("doc_id", "rid", "_hash", "class", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "join-out")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     classes = out.filter("class is not null").groupBy("class").agg(first, F.count("*").alias("class_size"))
     classes = stored(classes.select("class", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("of"), "class_size"), "join-class-ids")
-    out = out.join(small(classes, classes.count()), "class", "left")
+    out = out.join(small(classes), "class", "left")
     return out.select(
         "doc_id",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -353,13 +353,10 @@ def drop_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = similar_documents(spread, threshold, keep_text_hash=True)
     found = stored(found.filter("class_size > 1").select(F.col("doc_id").alias("_id"), "_hash", "representative"), "similar-decisions")
     gone = found.groupBy("_id", "_hash").agg(F.max("representative").alias("kept"), F.count("*").alias("rows"))
-    gone, ties = gone.filter("not kept").drop("kept", "rows"), gone.filter("kept and rows > 1").drop("kept", "rows")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_or_empty()))
-    on = lambda other: keyed["doc_id"].cast("bigint").eqNullSafe(other["_id"]) & (keyed["_text_hash"] == other["_hash"])
-    kept = keyed.join(small(gone, gone.count()), on(gone), "left_anti")
+    gone, ties = gone.filter("not kept").select("_id", "_hash"), gone.filter("kept and rows > 1").select("_id", "_hash")
+    key = F.xxhash64(text_or_empty())
+    kept = without(docs, gone, key)
     if ties.isEmpty():
-        return kept.drop("_text_hash")
+        return kept
     # rows repeated with the same id and text: one of them
-    single = kept.join(small(ties, ties.count()), kept["doc_id"].cast("bigint").eqNullSafe(ties["_id"]) & (kept["_text_hash"] == ties["_hash"]), "left_anti")
-    tied = keyed.join(small(ties, ties.count()), on(ties), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return single.unionByName(tied).drop("_text_hash")
+    return without(kept, ties, key).unionByName(one_each(without(docs, ties, key, "left_semi"), key))

@@ -223,12 +223,12 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     repeated = stored(known.groupBy("id").count().filter("count > 1").select("id"), "suffix-repeated")
     n_repeated = repeated.count()
     texts = rows.select("id", F.col("text").cast("binary").alias("text"))
-    once = texts.join(small(repeated, n_repeated), "id", "left_anti")
-    again = texts.join(small(repeated, n_repeated), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    once = texts.join(small(repeated), "id", "left_anti")
+    again = texts.join(small(repeated), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = once.unionByName(stored(again, "suffix-copied"))
     pieces = stored(repeated_spans(texts, length, gram, hot), "suffix-spans")
     per_text = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("list"))
-    per_text = per_text.join(small(repeated, n_repeated), "id", "left_anti")  # copied texts go as a whole
+    per_text = per_text.join(small(repeated), "id", "left_anti")  # copied texts go as a whole
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -254,7 +254,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     done = joined.mapInArrow(cut, "id binary, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
     done = stored(done, "suffix-done")
     copied = repeated.withColumn("copied", F.lit(True))
-    out = known.join(small(copied, n_repeated), "id", "left").join(small(done, done.count()), "id", "left")
+    out = known.join(small(copied), "id", "left").join(small(done), "id", "left")
     whole = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id",

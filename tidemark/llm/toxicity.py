@@ -7,10 +7,14 @@ mean of hashed vectors of its character 3- to 5-grams with a mark at either end.
 a window; attention pools their states to one logit. A text's logit is the largest of its windows; it is calibrated by
 logistic regression together with the logarithm of the number of windows.
 
-Training sees only the text's label: the gradient goes to the window with the largest logit. Of a sample of at most
-about ``fit_rows`` labelled rows, never held-out ones, it reads the shorter texts, each of at most ``fit_chars`` code
-points and all of at most ``fit_total`` (whole texts: in a part of one the label could be wrong), on the driver. Scoring reads all windows of all texts in tasks, a
-bounded number of words at a time.
+Training sees only the text's label: the gradient goes to the window with the largest logit. It runs on the driver, on a
+sample of labelled rows that are not held out: about ``fit_rows`` in order of a hash, half of either label where there
+are as many, whole texts of at most ``fit_chars`` code points, marked ones of a quarter of ``fit_total`` together and
+others of the rest. The calibration weighs them as
+all labelled rows. One input of a word and of a character n-gram begins with how far its texts exceed the share of
+marked texts, so that a few dozen marked texts teach something. Scoring reads all windows of all texts in tasks, a
+bounded number of bytes at a time; a long text is cut between words, where a window of the whole text begins. (Only in
+a run without separators of over ``_BYTES / 4`` may its words begin elsewhere.)
 
 Defined cases: null text counts as empty; a text without words is one empty window; if labelled rows of one kind
 only exist the score is that label for all, and 0 (nothing is rejected) if there are none; repeated rows get equal scores; a null ``doc_id`` is not held out; extra columns are
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stored, table, text_or_empty
+from tidemark.llm.common import slices, stored, table, text_or_empty, without
 from tidemark.llm.labelled import held_out, teaching_sample
 
 WINDOW = 32
@@ -36,9 +40,9 @@ LONG = 64
 STEP = 12
 #: Windows that run through the network at once, and bytes of text that are cut into words at once.
 _LANES = 2048
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -47,10 +51,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-_POWERS = _powers(int(_BASE), _BYTES + 1)
-_INVERSE = _powers(pow(int(_BASE), -1, 2**64), _BYTES + 1)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -75,27 +75,50 @@ def _parted(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return (left, right) if (n == 1).all() else (border(k), np.where(k + 1 < many, border(k + 2), right))
 
 
-def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, start, end, hash) of the words in lower-cased UTF-8."""
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end) of the words in lower-cased UTF-8."""
     raw = np.frombuffer(data, np.uint8)
     inside = _IS_WORD[raw]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    start, end = _parted(raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
-    sums, hashes = None, np.zeros(len(start), np.uint64)
+    return raw, *_parted(raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, hash) of the words in lower-cased UTF-8."""
+    raw, start, end = word_places(data)
+    hashes = np.zeros(len(start), np.uint64)
+    # tables made where they are used: as globals they would travel with every task
+    up, down = _powers(_BASE, min(_BYTES, len(raw)) + 1), _powers(pow(_BASE, -1, 2**64), min(_BYTES, len(raw)) + 1)
     for at in range(0, len(raw), _BYTES):  # words that reach over a border of the pieces are cut there for their hash
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((raw[at : at + _BYTES].astype(np.uint64) + np.uint64(1)) * _POWERS[: min(_BYTES, len(raw) - at)])))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum((raw[at : at + _BYTES].astype(np.uint64) + np.uint64(1)) * up[: min(_BYTES, len(raw) - at)])))
         a, b = np.searchsorted(end, at, "right"), np.searchsorted(start, at + _BYTES, "left")
         s, e = np.clip(start[a:b] - at, 0, len(sums) - 1), np.clip(end[a:b] - at, 0, len(sums) - 1)
-        hashes[a:b] += (sums[e] - sums[s]) * _INVERSE[s]
+        hashes[a:b] += (sums[e] - sums[s]) * down[s]
     return raw, start, end, _mixed(hashes)
 
 
+def text_parts(text: bytes, size: int = _BYTES // 4) -> Iterator[bytes]:
+    """A long text in parts that end after a window's last word; the next begins with the word that the next window begins with."""
+    at, reach = 0, size
+    while len(text) - at > reach:
+        part = text[at : at + reach]
+        _, start, end = word_places(part)
+        n = (int(np.searchsorted(end, len(part), "left")) - WINDOW) // STRIDE + 1
+        if n < 1:
+            reach *= 2
+            continue
+        yield part[: end[(n - 1) * STRIDE + WINDOW - 1]]
+        at, reach = at + int(start[n * STRIDE]), size
+    yield text[at:]
+
+
 class BiGru:
     """Parameters and their use; ``p`` maps names to arrays."""
 
-    def __init__(self, units: int = 8, width: int = 16, word_slots: int = 1 << 14, gram_slots: int = 1 << 15, seed: int = 5, epochs: int = 4, fit_rows: int = 8000, fit_chars: int = 4000, fit_total: int = 2_000_000, batch: int = 64, rate: float = 0.02):
+    def __init__(self, units: int = 8, width: int = 16, word_slots: int = 1 << 14, gram_slots: int = 1 << 15, seed: int = 5, epochs: int = 4, fit_rows: int = 2400, fit_chars: int = 20_000, fit_total: int = 3_000_000, batch: int = 64, rate: float = 0.02, input_rate: float = 0.1):
         self.units, self.width, self.word_slots, self.gram_slots, self.seed = units, width, word_slots, gram_slots, seed
         self.epochs, self.fit_rows, self.fit_chars, self.fit_total, self.batch, self.rate = epochs, fit_rows, fit_chars, fit_total, batch, rate
+        self.input_rate = input_rate
         r, h, w = np.random.default_rng(seed), units, width
         small = lambda *s: (r.standard_normal(s) * 0.3 / np.sqrt(s[0] if len(s) > 1 else 1)).astype(np.float32)
         self.p = {"word": (r.standard_normal((word_slots, w)) * 0.05).astype(np.float32), "gram": (r.standard_normal((gram_slots, w)) * 0.1).astype(np.float32)}
@@ -215,8 +238,19 @@ class BiGru:
         return g, dx
 
     # learning ------------------------------------------------------------------------------------------------------
-    def fit(self, texts: list[str], labels: np.ndarray) -> BiGru:
-        self.prior = float(labels.mean()) if len(labels) else 0.0
+    def _informed(self, slots: int, slot: np.ndarray, text: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """For each slot, in -1 to 1, how far the texts that hold it exceed the share of marked ones, in standard errors."""
+        pairs = np.unique(slot * len(labels) + text)
+        n = np.bincount(pairs // len(labels), minlength=slots)
+        marked = np.bincount(pairs // len(labels), labels[pairs % len(labels)], minlength=slots)
+        p = labels.mean()
+        z = (marked - n * p) / np.sqrt(n * p * (1 - p) + 1)
+        return np.where(np.abs(z) > 2, np.tanh((z - 2 * np.sign(z)) / 3), 0).astype(np.float32)
+
+    def fit(self, texts: list[str], labels: np.ndarray, importance: np.ndarray | None = None) -> BiGru:
+        """``importance``: how many rows of all labelled ones each text stands for."""
+        importance = np.ones(len(labels)) if importance is None else importance
+        self.prior = float(np.average(labels, weights=importance)) if len(labels) else 0.0
         if len(set(labels.tolist())) < 2:
             return self
         data = [t.lower().encode() + b" " for t in texts]
@@ -230,9 +264,21 @@ class BiGru:
         spans = np.searchsorted(text, np.arange(len(texts) + 1))
         gram_n = np.diff(np.append(first, len(slot)))
         del raw, start, end, hashes
+        holder = np.repeat(np.arange(len(texts)), counts)
+        uses = np.unique(ids * len(texts) + holder)  # each word once a text
+        used, holder = uses // len(texts), uses % len(texts)
+        self.p["word"][:, 0] += self._informed(self.word_slots, word[used], holder, labels)
+
+        def grams_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = gram_n[words]
+            begin = np.cumsum(n) - n
+            return np.arange(n.sum()) + np.repeat(first[words] - begin, n), begin
+
+        self.p["gram"][:, 1] += self._informed(self.gram_slots, slot[grams_of(used)[0]], np.repeat(holder, gram_n[used]), labels)
+        del uses, used, holder
         r, step, held = np.random.default_rng(self.seed), 0, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         weight = np.where(labels == 1, np.minimum(8.0, 0.5 / max(labels.mean(), 1e-3)), 1.0)
-        epochs = max(self.epochs, min(12, -(-300 * self.batch // len(texts))))  # few texts are read more often
+        epochs = max(self.epochs, min(10, -(-140 * self.batch // len(texts))))  # few texts are read more often
         for epoch in range(epochs):
             rate = self.rate * (1 - epoch / epochs) + 5e-4
             order = r.permutation(len(texts))
@@ -242,8 +288,7 @@ class BiGru:
                 used, local = np.unique(grid[rows], return_inverse=True)
                 local = local.reshape(-1, WINDOW)
                 known = used[used < pad]
-                pieces = np.concatenate([np.arange(first[w], first[w] + gram_n[w]) for w in known]) if len(known) else np.zeros(0, int)
-                starts = np.concatenate(([0], np.cumsum(gram_n[known])))[:-1]
+                pieces, starts = grams_of(known)
                 x = np.zeros((len(used), self.width), np.float32)
                 x[: len(known)] = self.vectors(word[known], slot[pieces], starts)
                 logit = self.logits(x, local, size[rows])
@@ -252,9 +297,13 @@ class BiGru:
                 early = 1 - 2 * epoch / epochs
                 logit = np.where(r.random(len(some)) < early, 1e3, 0)[owner] * r.random(len(logit)) + logit
                 best = np.lexsort((-logit, owner))[np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))]
-                shown = np.where(r.random((len(best), WINDOW)) < 0.2, len(used), local[best])
-                x = np.concatenate([x, np.zeros((1, self.width), np.float32)])
+                # of the words, those of the windows that teach
+                seen, shown = np.unique(local[best], return_inverse=True)
+                shown = np.where(r.random((len(best), WINDOW)) < 0.2, len(seen), shown.reshape(-1, WINDOW))
+                x = np.concatenate([x[seen], np.zeros((1, self.width), np.float32)])
                 g, dx = self.gradients(x, shown, size[rows][best], labels[some], weight[some] / len(some))
+                known = used[seen[used[seen] < pad]]
+                pieces, starts = grams_of(known)
                 dx = dx[: len(known)]
                 for name, where, part in (("word", word[known], dx), ("gram", slot[pieces], np.repeat(dx / gram_n[known][:, None], gram_n[known], axis=0))):
                     u, inv = np.unique(where, return_inverse=True)
@@ -267,13 +316,14 @@ class BiGru:
                     m, v = held[name]
                     m[u] = 0.9 * m[u] + 0.1 * d
                     v[u] = 0.99 * v[u] + 0.01 * d * d
-                    self.p[name][u] -= rate * (m[u] / (1 - 0.9**step)) / (np.sqrt(v[u] / (1 - 0.99**step)) + 1e-7)
+                    # inputs move slowly: few marked texts would be learnt by heart
+                    self.p[name][u] -= rate * (self.input_rate if name in ("word", "gram") else 1) * (m[u] / (1 - 0.9**step)) / (np.sqrt(v[u] / (1 - 0.99**step)) + 1e-7)
         del held, grid, slot, first, ids
         z = np.column_stack([np.ones(len(texts)), *self.raw_scores([t.lower().encode() for t in texts])])
         w = np.zeros(z.shape[1])
         for _ in range(40):
             q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            w -= np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (q - labels) + 0.1 * w)
+            w -= np.linalg.solve((z * (importance * q * (1 - q))[:, None]).T @ z + 0.1 * np.eye(len(w)), z.T @ (importance * (q - labels)) + 0.1 * w)
         self.calibration = w
         return self
 
@@ -299,21 +349,16 @@ class BiGru:
 
     @staticmethod
     def _pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """Groups of texts of at most about _BYTES; longer texts in pieces that share a window's worth of bytes."""
+        """Groups of texts of at most about _BYTES / 2; longer texts in parts."""
         held, owner, size = [], [], 0
         for k, t in enumerate(texts):
-            at = 0
-            while True:
-                part = t[at : at + _BYTES // 4]
+            for part in text_parts(t):
                 if size + len(part) > _BYTES // 2 and held:
                     yield held, np.array(owner)
                     held, owner, size = [], [], 0
                 held.append(part)
                 owner.append(k)
                 size += len(part) + 1
-                if at + len(part) >= len(t):
-                    break
-                at += len(part) - 1024
         if held:
             yield held, np.array(owner)
 
@@ -326,18 +371,18 @@ class BiGru:
 
     # use -----------------------------------------------------------------------------------------------------------
     def fitted(self, docs: DataFrame, labels: DataFrame, label: str = "toxic") -> BiGru:
-        sample = teaching_sample(docs, labels, label, self.fit_rows, self.fit_chars, whole=True)
-        size = sample["text"].str.len()
-        sample = sample.loc[size.sort_values(kind="stable").index]
-        sample = sample[sample["text"].str.len().cumsum() <= self.fit_total]
-        return self.fit(sample["text"].tolist(), sample["label"].to_numpy())
+        sample = teaching_sample(docs, labels, label, self.fit_rows, self.fit_chars, whole=True, balanced=True)
+        size = sample.groupby("label")["text"].transform(lambda t: t.str.len().cumsum())
+        kept = sample[size <= sample["label"].map({1: self.fit_total // 4, 0: self.fit_total - self.fit_total // 4})]
+        weight = sample.groupby("label")["weight"].sum() / kept.groupby("label")["weight"].sum()
+        return self.fit(kept["text"].tolist(), kept["label"].to_numpy(), (kept["weight"] * kept["label"].map(weight)).to_numpy())
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """(doc_id, score) of every row; with names in ``keep``, those columns too."""
         model = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, "_text")):
                 out = model.scores([t.lower().encode() for t in batch.column("_text").to_pylist()])
                 columns = {c: batch.column(c) for c in batch.schema.names if c != "_text"} | {"score": pa.array(out, pa.float64())}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -355,7 +400,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more, all columns."""
-    scored = BiGru().fitted(docs, labels).score(docs.select("*", F.xxhash64(text_or_empty()).alias("_hash")), "_hash")
-    gone = stored(scored.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), "_hash").distinct(), "toxic-decisions")
-    on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    return docs.join(small(gone, gone.count()), on, "left_anti")
+    digest = F.xxhash64(text_or_empty())
+    scored = BiGru().fitted(docs, labels).score(docs.select("doc_id", "text", digest.alias("_hash")), "_hash")
+    gone = stored(scored.filter(F.col("score") >= threshold).select("doc_id", "_hash").distinct(), "toxic-decisions")
+    return without(docs, gone, digest)

@@ -68,7 +68,7 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
     rows = rows.withColumn("size", F.octet_length("html").cast("bigint")).withColumn("digest", F.sha2("html", 256))
     groups = rows.filter(F.col("size") >= least).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     groups = stored(groups.filter("n > 1").drop("n"), "warc-groups")
-    rows = rows.join(small(groups, groups.count()), F.col("digest") == F.col("of"), "left")
+    rows = rows.join(small(groups), F.col("digest") == F.col("of"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", F.when(~revisit, F.col("html").cast("binary")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
