@@ -24,7 +24,7 @@ def removed(texts, length):
         yield len(b), sum(cover), len(bytes(cover).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 96, 50_000), (60, 16, 50_000), (60, 16, 2)])
+@pytest.mark.parametrize(("length", "gram", "hot"), [(400, 96, 2 << 20), (60, 16, 2 << 20), (60, 16, 60), (60, 16, 4000), (400, 96, 1000)])
 def test_substrings(docs, texts, length, gram, hot):
     got = suffix_dedup.dedup_substrings(docs, length, gram, hot).collect()
     want = collections.Counter((i, *x) for (i, _), x in zip(texts, removed(texts, length), strict=True))

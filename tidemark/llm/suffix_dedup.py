@@ -1,19 +1,22 @@
-"""Repeated substrings across documents, by sorting suffix buckets one at a time.
+"""Repeated substrings across documents, by sorting one suffix bucket at a time with a difference cover.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else (in any document, the same included)
 is removed. Strings are judged on the input; matches never cross documents.
 
 * *Equal texts* are one text with a count; a text of at least ``LENGTH`` bytes that has copies goes as a whole.
-* *Cover sample*: of the grams of ``GRAM`` bytes within a string of ``LENGTH`` bytes, the one with the smallest hash
-  stands for all suffixes that start there. The choice depends on the bytes alone, so that equal strings choose equal
-  grams: two suffixes that agree for ``LENGTH`` bytes are in one bucket. About one place in 150 is a sample.
+* *Buckets*: of the grams of ``GRAM`` bytes within a string of ``LENGTH`` bytes, the one with the smallest hash stands
+  for all suffixes that start there. The choice depends on the bytes alone, so that two suffixes that agree for
+  ``LENGTH`` bytes are in one bucket. Neighbouring suffixes of a bucket are a run; about one place in 150 begins one.
 * Buckets whose gram stands at one place only hold no repeat and are dropped before any text is moved.
-* *Blocks*: the suffixes of the other buckets meet in a task, one bucket (or a few small ones) at a time. They are
-  sorted by precomputed ranks of their first ``LENGTH`` bytes (fingerprints from two running sums), so that the longest
-  tie costs no more than the shortest, and equal neighbours are repeats.
-* A bucket of more than ``HOT`` runs is dealt out by the rank of the suffix instead, and counted with partial sums.
-
-Memory per task is bounded by ``HOT`` runs or one part of a text. Defined cases: null text counts as empty; repeated
+* *Blocks*: the suffixes of the other buckets meet in a task, one bucket (or a few small ones) at a time. First the places
+  that ``COVER`` marks in every ``PERIOD`` bytes, a difference cover, are ranked by doubling. Suffixes are then sorted by
+  their first and last bytes; ties, however long, are resolved by the ranks of the cover sample at a place that both
+  share, which a difference cover has within ``PERIOD`` bytes for any two. All ranks are exact, not hashes.
+* A bucket of more than ``HOT_BYTES`` is too large for a task. Its runs are cut into pieces of ``PIECE`` starts, aligned
+  with the gram, and counted as digests with partial sums: of equal pieces every suffix is repeated. Pieces whose core
+  (what all their suffixes share) is found in another piece are spelt out as 128-bit fingerprints of suffixes.
+
+Memory per task is bounded by ``HOT_BYTES`` or one part of a text. Defined cases: null text counts as empty; repeated
 rows are copies of each other; a null ``doc_id`` is kept as it is; extra columns are ignored; an empty table gives an
 empty result; texts of any length are read whole, in overlapping parts.
 """
@@ -24,18 +27,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stored, table, text_or_empty
+from tidemark.llm.common import slices, small, stored, table, text_or_empty
 
 LENGTH = 400
 GRAM = 96
-#: Suffixes of one run at most; runs of a bucket that one task sorts at most.
+#: Suffixes of one run at most; bytes of a bucket that one task sorts at most, or about so many of small ones together.
 RUN = 4096
-HOT = 50_000
+HOT_BYTES = 2 << 20
+#: Starts of a piece of a larger bucket.
+PIECE = 16
+#: A difference cover: the differences of its members are all residues of the period.
+PERIOD = 16
+COVER = (0, 1, 2, 5, 8)
 _PART = 2 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -128,105 +135,187 @@ def spans_of(start: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(start[first], start[last], strict=True)]
 
 
-def _sorted_bucket(context: list[bytes], lo: np.ndarray, copies: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of values without gaps."""
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _dense((a << np.uint64(32)) | b)
+
+
+def repeated_suffixes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which of the suffixes that start ``at`` agree with another one for ``length`` (32 at least) bytes, exactly."""
+    if len(at) < 2:
+        return np.zeros(len(at), bool)
+    k = (length - PERIOD) // PERIOD  # periods that a rank of the sample covers
+    padded = np.concatenate([raw, np.zeros(-len(raw) % PERIOD + length + 2 * PERIOD, np.uint8)])
+    n = len(padded) - PERIOD
+    words = np.zeros(n + 8, np.uint64)
+    for j in range(8):
+        words |= padded[j : j + n + 8].astype(np.uint64) << np.uint64(8 * (7 - j))
+    words = _dense(words)
+    short = _paired(words[:n], words[8:])  # ranks of PERIOD bytes everywhere
+    del words
+    # ends first: what is unique there needs no more
+    ends = short[at]
+    for tail in range(PERIOD, length - k * PERIOD + PERIOD, PERIOD):
+        ends = _paired(ends, short[at + length - tail])
+    tied = np.flatnonzero(np.bincount(ends.astype(np.int64))[ends.astype(np.int64)] > 1)
+    hit = np.zeros(len(at), bool)
+    if not len(tied):
+        return hit
+    sample = np.stack([short[d : n - n % PERIOD : PERIOD] for d in COVER])
+    span = 1
+    while 2 * span <= k:
+        sample[:, :-span] = _dense((sample[:, :-span] << np.uint64(32)) | sample[:, span:]).reshape(len(COVER), -1)
+        span *= 2
+    if span < k:
+        rest = k - span
+        sample[:, :-rest] = _dense((sample[:, :-rest] << np.uint64(32)) | sample[:, rest:]).reshape(len(COVER), -1)
+    row = np.full(PERIOD, -1)
+    row[list(COVER)] = np.arange(len(COVER))
+    for shift in range(PERIOD):
+        place = at[tied] + shift
+        which = row[place % PERIOD]
+        some = np.flatnonzero(which >= 0)
+        key = (ends[tied[some]] << np.uint64(32)) | sample[which[some], place[some] // PERIOD]
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        hit[tied[some[order[1:][same]]]] = True
+        hit[tied[some[order[:-1][same]]]] = True
+    return hit
+
+
+def _sorted_bucket(context: list[bytes], lo: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
     """Spans of each run whose suffixes are repeated among the runs given."""
     size = np.array([len(c) for c in context])
-    rank = ranks(np.frombuffer(b"".join(context), np.uint8), length)
     n = size - length + 1
     owner = np.repeat(np.arange(len(context)), n)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    r = rank[(np.cumsum(size) - size)[owner] + inner]
-    order = np.argsort(r)
-    same = r[order][1:] == r[order][:-1]
-    hit = copies[owner] > 1
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    hit = repeated_suffixes(np.frombuffer(b"".join(context), np.uint8), (np.cumsum(size) - size)[owner] + inner, length)
     at = np.flatnonzero(hit)
     bounds = np.searchsorted(owner[at], np.arange(len(context) + 1))
     start = lo[owner[at]] + inner[at]
     return [spans_of(start[a:b], length) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def pieces_of(context: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(place of the gram by starts of PIECE, first start, starts, digest of the core, digest of the piece) of a run."""
+    g, mask = ranks(np.frombuffer(context, np.uint8), gram, _BASES[:1]), np.uint64((1 << 24) - 1)
+    left = (sliding_min((g & ~mask) | np.arange(len(g), dtype=np.uint64), length - gram + 1) & mask).astype(np.int64)
+    cell = (left - np.arange(len(left))) // PIECE
+    new = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (cell[1:] != cell[:-1]))))
+    digest = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    for a, b in zip(new.tolist(), np.append(new[1:], len(left)).tolist(), strict=True):
+        last = int(left[a] - cell[a] * PIECE)  # the last start that a whole piece of this place would have
+        yield int(cell[a]), a, b - a, digest(context[last : last - PIECE + 1 + length]), digest(context[a : b - 1 + length])
+
+
+def _hot_spans(context: DataFrame, length: int, gram: int) -> DataFrame:
+    """(id, start, end) for runs (h, id, lo, context) of large buckets."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.int64()), ("cell", pa.int32()), ("core", pa.binary()), ("piece", pa.binary()), ("id", pa.binary()), ("lo", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+        for batch in (part for b in batches for part in slices(b, "context")):
+            rows = [(h, c, core, piece, key, lo, at, n) for h, key, lo, text in zip(*(batch.column(x).to_pylist() for x in ("h", "id", "lo", "context")), strict=True) for c, at, n, core, piece in pieces_of(text, length, gram)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    each = stored(context.mapInArrow(cut, "h bigint, cell int, core binary, piece binary, id binary, lo bigint, at int, n int"), "suffix-pieces")
+    kinds = each.groupBy("h", "cell", "core", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("id", "lo", "at", "n")).alias("one"))
+    kinds = stored(kinds, "suffix-kinds")
+    copied = stored(kinds.filter("copies > 1").select("h", "cell", "core", "piece"), "suffix-copied-pieces")
+    whole = each.join(small(copied), ["h", "cell", "core", "piece"]).select("id", (F.col("lo") + F.col("at")).alias("start"), (F.col("lo") + F.col("at") + F.col("n") - 1 + length).alias("end"))
+    # one piece of each kind whose core stands in another kind, too
+    shared = kinds.groupBy("h", "cell", "core").count().filter("count > 1").drop("count")
+    open_ = kinds.join(shared, ["h", "cell", "core"]).select("one.*", (F.col("copies") == 1).alias("single"))
+    lists = open_.groupBy("id", "lo").agg(F.collect_list(F.struct("at", "n", "single")).alias("list"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "context", 200)):
+            out: list[tuple] = []
+            for key, lo, text, some in zip(*(batch.column(x).to_pylist() for x in ("id", "lo", "context", "list")), strict=True):
+                for p in some:
+                    piece = np.frombuffer(text[p["at"] : p["at"] + p["n"] - 1 + length], np.uint8)
+                    f = np.column_stack([ranks(piece, length), ranks(piece, length, _BASES[::-1])]).tobytes()
+                    out += [(f[16 * k : 16 * k + 16], key, lo + p["at"] + k, p["single"]) for k in range(p["n"])]
+            if out:
+                f, key, start, single = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(key, pa.binary()), pa.array(start, pa.int64()), pa.array(single)], ["f", "id", "start", "single"])
+
+    spelt = stored(context.join(lists, ["id", "lo"]).select("id", "lo", "context", "list").mapInArrow(spell, "f binary, id binary, start bigint, single boolean"), "suffix-spelt")
+    twice = spelt.groupBy("f").count().filter("count > 1").select("f")
+    return whole.unionByName(spelt.filter("single").join(twice, "f").select("id", "start", (F.col("start") + length).alias("end")))
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(id, start, end) of removed pieces, possibly overlapping, of distinct texts (id: binary, text: binary)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                text, lo, n, h, several = runs(part.column("text").to_pylist(), length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column("id").take(pa.array(text)), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(several)], ["h", "id", "lo", "n", "several"])
-
-    found = texts.mapInArrow(sample, "h bigint, id binary, lo bigint, n int, several boolean")
-    found = found.selectExpr("*", "count(*) over (partition by h) as runs").filter("runs > 1 or several")
-    found = stored(found, "suffix-runs")
-    per_text = found.groupBy("id").agg(F.collect_list(F.struct("lo", "n", "h", (F.col("runs") > hot).alias("hot"))).alias("list"))
+        for batch in (part for b in batches for part in slices(b, "text", 2000, 4 << 20)):
+            text, lo, n, h, several = runs(batch.column("text").to_pylist(), length, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(pa.array(text)), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(several)], ["h", "id", "lo", "n", "several"])
+
+    found = stored(texts.mapInArrow(sample, "h bigint, id binary, lo bigint, n int, several boolean"), "suffix-runs")
+    size = F.sum(F.col("n").cast("bigint") + length - 1)
+    buckets = found.groupBy("h").agg(F.count("*").alias("runs"), F.max("several").alias("twice"), size.alias("size"))
+    buckets = stored(buckets.filter("runs > 1 or twice").select("h", (F.col("size") > hot_bytes).alias("hot")), "suffix-buckets")
+    found = found.join(small(buckets), "h")
+    per_text = found.groupBy("id").agg(F.collect_list(F.struct("lo", "n", "h", "hot")).alias("list"))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("id", pa.binary()), ("lo", pa.int64()), ("hot", pa.bool_()), ("context", pa.binary())])
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             rows, size = [], 0
             for key, text, some in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "list")), strict=True):
                 for r in some:
                     rows.append((r["h"], key, r["lo"], r["hot"], text[r["lo"] : r["lo"] + r["n"] + length - 1]))
                     size += len(rows[-1][4])
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     # texts are moved at every size: what they meet grows with them
     joined = texts.join(per_text.hint("shuffle_hash"), "id")
     context = joined.mapInArrow(contexts, "h bigint, id binary, lo bigint, hot boolean, context binary")
-    n_hot = found.filter(F.col("runs") > hot).limit(1).count()
-    spans = "id binary, start bigint, end bigint"
-
-    def sort_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def spread(rows: pd.DataFrame) -> pd.DataFrame:
-            got = _sorted_bucket(rows["context"].tolist(), rows["lo"].to_numpy(), np.ones(len(rows)), length)
-            flat = [(k, a, b) for k, x in zip(rows["id"], got, strict=True) for a, b in x]
-            return pd.DataFrame(flat, columns=["id", "start", "end"])
-
-        held = None
-        for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.iloc[at : at + 4000]
-                rows = part if held is None else pd.concat([held, part], ignore_index=True)
-                h = rows["h"].to_numpy()
-                first = int(np.searchsorted(h, h[-1])) if (h[1:] >= h[:-1]).all() else int(np.flatnonzero(h != h[-1])[-1]) + 1
-                held = rows.iloc[first:]
-                if first:
-                    yield spread(rows.iloc[:first])
-        if held is not None and len(held):
-            yield spread(held)
-
-    cold = context.filter("not hot").select("h", "id", "lo", "context") if n_hot else context.select("h", "id", "lo", "context")
-    out = cold.repartition("h").sortWithinPartitions("h").mapInPandas(sort_buckets, spans)
+    n_hot = buckets.filter("hot").limit(1).count()
     if n_hot:
+        context = stored(context, "suffix-contexts")
+
+    def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spread(rows: list[tuple]) -> pa.RecordBatch:
+            got = _sorted_bucket([r[3] for r in rows], np.array([r[2] for r in rows]), length)
+            flat = [(r[1], a, b) for r, x in zip(rows, got, strict=True) for a, b in x]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.binary()), pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.int64())], ["id", "start", "end"])
+
+        held, size = [], 0
+        for batch in (part for b in batches for part in slices(b, "context")):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "lo", "context")), strict=True):
+                if size > hot_bytes // 4 and row[0] != held[-1][0]:
+                    yield spread(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield spread(held)
 
-        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, lo, c in zip(*(batch.column(x).to_pylist() for x in ("id", "lo", "context")), strict=True):
-                    r = ranks(np.frombuffer(c, np.uint8), length)
-                    yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)), pa.array([k] * len(r), pa.binary()), pa.array(np.arange(lo, lo + len(r)))], ["rank", "id", "start"])
-
-        each = stored(context.filter("hot").mapInArrow(spell, "rank bigint, id binary, start bigint"), "suffix-hot")
-        twice = each.groupBy("rank").count().filter("count > 1").select("rank")
-        out = out.unionByName(each.join(twice, "rank").select("id", "start", (F.col("start") + length).alias("end")))
-    return out
+    cold = context.filter("not hot").select("h", "id", "lo", "context")
+    out = cold.repartition("h").sortWithinPartitions("h").mapInArrow(sort_buckets, "id binary, start bigint, end bigint")
+    return out.unionByName(_hot_spans(context.filter("hot").select("h", "id", "lo", "context"), length, gram)) if n_hot else out
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes)."""
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether anything was removed), spans (array of start, end in bytes)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("id", F.unhex(F.sha2("text", 256)))
     known = stored(rows.select("doc_id", "id", F.octet_length("text").cast("bigint").alias("n_bytes")), "suffix-rows")
     repeated = stored(known.groupBy("id").count().filter("count > 1").select("id"), "suffix-repeated")
-    n_repeated = repeated.count()
     texts = rows.select("id", F.col("text").cast("binary").alias("text"))
     once = texts.join(small(repeated), "id", "left_anti")
     again = texts.join(small(repeated), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = once.unionByName(stored(again, "suffix-copied"))
-    pieces = stored(repeated_spans(texts, length, gram, hot), "suffix-spans")
+    pieces = stored(repeated_spans(texts, length, gram, hot_bytes), "suffix-spans")
     per_text = pieces.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("list"))
     per_text = per_text.join(small(repeated), "id", "left_anti")  # copied texts go as a whole
 
@@ -262,6 +351,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("id")))).alias("kept_sha256"),
+        (whole | (F.coalesce("n_removed", F.lit(0)) > 0)).alias("repeated"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
     )
 
