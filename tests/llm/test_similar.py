@@ -221,3 +221,58 @@ def test_gradients():
         down = loss()
         a[at] += 1e-4
         assert d[at] == pytest.approx((up - down) / 2e-4, abs=2e-3)
+
+
+def test_recall_of_drifting_copies(spark, monkeypatch):
+    """Chains of copies, each at 0.80 to 0.85 of the one before: nearly all of the links are found, also where prefixes are full."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows, links = [], []
+    for family in range(60):
+        words = [word() for _ in range(r.randint(120, 400))]
+        for step in range(8):
+            if step:
+                before = list(words)
+                while True:
+                    words[r.randrange(len(words))] = word()
+                    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (before, words))
+                    similarity = len(a & b) / len(a | b)
+                    if similarity < 0.85:
+                        break
+                if similarity >= 0.8:
+                    links.append((len(rows) - 1, len(rows)))
+            rows.append((len(rows), " ".join(words)))
+    assert len(links) > 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for full in (4096, 3):
+        monkeypatch.setattr(ngram_join, "FULL", full)
+        of = {r["doc_id"]: r["class_id"] for r in ngram_join.similar_documents(docs).collect()}
+        assert np.mean([of[a] == of[b] for a, b in links]) >= 0.99
+
+
+def test_groups_grow_in_any_order():
+    r = np.random.default_rng(5)
+    sig = r.integers(0, 256, (1, 128)).repeat(30, 0)
+    for k in range(1, 30):  # a chain: each like its neighbours only
+        sig[k] = sig[k - 1]
+        sig[k, r.choice(128, 30, replace=False)] = r.integers(0, 256, 30)
+    for _ in range(20):
+        order = r.permutation(30)
+        edges = np.array([(i, j) for i, j, _ in ngram_join._grown(sig[order], np.arange(30))])
+        assert (ngram_join._roots(30, edges) == 0).all()
+
+
+def test_radius_leaves_out_few(spark):
+    """Pairs of item-sized windows at a similarity of 0.80 to 0.81: how many fingerprints are farther apart than the radius."""
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(4000):
+        m = int(r.integers(20, 200))
+        kept = int(np.ceil(0.8 * 2 * m / 1.8))
+        a = r.integers(-(2**63), 2**63 - 1, m)
+        b = np.concatenate([a[:kept], r.integers(-(2**63), 2**63 - 1, m - kept)])
+        rows.append((k, a.tolist(), b.tolist()))
+    pairs = spark.createDataFrame(rows, "k bigint, a array<bigint>, b array<bigint>").repartition(4)
+    f = lambda c: pairs.selectExpr("k", f"{c} as s").selectExpr("k", f"{decontaminate._FINGERPRINT} as f_{c}")
+    far = f("a").join(f("b"), "k").selectExpr("bit_count(f_a ^ f_b) as d").filter(f"d > {decontaminate.RADIUS}").count()
+    assert far <= 0.005 * len(rows), far

@@ -15,15 +15,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     logarithmic in the longest path. Tables of a round are written to the shared folder."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # each node's larger neighbours go to its smallest; a root, to which a third of all may be linked, has none and needs no group
+        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        large = edges.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # then each node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = stored(small.select("e.*").filter("a <> b").distinct(), name)
         # done when every node has one edge and no root is a node itself
-        roots = after.select(F.col("b").alias("a")).distinct()
-        open_ends = after.join(roots, "a", "left_semi").limit(1).count() + after.groupBy("a").count().filter("count > 1").limit(1).count()
+        open_ends = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count() + after.groupBy("a").count().filter("count > 1").limit(1).count()
         edges = after
         if not open_ends:
             break

@@ -87,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     met = stored(met.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "near"), "leak-places")
     some = rows.join(small(met), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
     some = shingled(some, F.col("text"), "h").select("doc_id", "text_hash", "h", F.explode_outer("near").alias("n")).select("doc_id", "text_hash", "h", "n.*")
-    some = some.join(small(items), "item").select("doc_id", "text_hash", "h", "m", "t", "first", "last")
+    some = some.join(small(items), "item").select("doc_id", "text_hash", "item", "h", "m", "t", "first", "last")
     # places of the item's shingles in all windows that hold a place from first to last
     low = F.greatest(F.col("first") - F.col("m") + 1, F.lit(0))
     some = some.withColumn("low", low).withColumn("met", F.slice("h", F.col("low") + 1, F.col("last") + F.col("m") - F.col("low")))

@@ -6,12 +6,14 @@ The join finds all pairs of documents whose sets of five-word shingles have a Ja
 * Equal texts are one node; what follows sees distinct texts only.
 * *Forest*: each of ``TREES`` trees labels a text by ``DEPTH`` of its MinHash values. Texts that share the first
   ``LEAST`` values meet in one task, sorted by label, which is the trie in order. Matching starts with the longest
-  prefix and shortens it until each text has a partner and the estimated recall (each match weighed by the chance that
-  a pair so similar meets) reaches ``recall``, or the prefix is at its least, where a pair at the threshold meets with
-  a chance of 0.998. Texts of a prefix are compared by their signatures, loosely, with each leader of their prefix.
+  prefix and shortens it, value by value, until each text has a partner and the estimated recall (each match weighed by
+  the chance that a pair so similar meets) reaches ``recall``, or the prefix is at its least, where a pair at the
+  threshold meets with a chance of 0.998. Within a prefix, groups grow from each text to all that its signature is
+  loosely like, until none is left out: which texts are joined doesn't depend on their order.
+* A least prefix that more than ``FULL`` texts share isn't compared: all its texts are one group, made by partial sums.
 * Loose matches are joined to groups, and *every* pair of a group is verified exactly. Pairs are counted, not emitted:
   a group's common shingles are taken out first, so that near copies compare only by what differs. Groups of more than
-  ``BLOCK`` texts are verified in pairs of blocks, each a task of bounded size.
+  ``BLOCK`` texts or ``BLOCK_BYTES`` of shingles are verified in pairs of blocks, each a task of bounded size.
 
 One row per document: class_id (smallest doc_id of its component of links), n_links (other documents at or above the
 threshold, copies included).
@@ -36,11 +38,13 @@ from tidemark.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH, LEAST = 16, 6, 5
+TREES, DEPTH, LEAST = 16, 8, 5
 RECALL = 0.999
 #: Signatures that agree less than this belong to no pair at the threshold (over three standard errors below it).
 LOOSE = 0.64
+FULL = 4096
 BLOCK = 20_000
+BLOCK_BYTES = 8 << 20
 
 _SLOTS = TREES * DEPTH
 _A = (np.random.default_rng(11).integers(1, 2**31, _SLOTS).astype(np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -93,8 +97,8 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(out), first
 
 
-def signatures(texts: list[bytes]) -> np.ndarray:
-    """MinHash values, texts × _SLOTS (uint32); a text without shingles has only the largest value."""
+def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(MinHash values, texts × _SLOTS (uint32), number of shingles); a text without shingles has only the largest value."""
     out = np.full((len(texts), _SLOTS), np.uint32(0xFFFFFFFF))
     hashes, first = shingles(texts)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -107,44 +111,47 @@ def signatures(texts: list[bytes]) -> np.ndarray:
             for k in range(_SLOTS):
                 y = v * _A[k] + _B[k]
                 out[part, k] = np.minimum.reduceat(y ^ (y >> np.uint32(15)), cut)
-    return out
+    return out, np.diff(first)
 
 
 def _chance(s: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - s**depth) ** TREES
 
 
-def _leaders(sig: np.ndarray) -> tuple[list[tuple[int, int, float]], np.ndarray]:
-    """Matches of each text with the leaders before it and with its neighbour; a text without match leads."""
-    n, found = len(sig), []
-    led, is_leader = np.zeros(n, bool), np.zeros(n, bool)
-    for i in range(n):
-        if led[i]:
-            continue
-        is_leader[i] = True
-        if i + 1 < n:
-            s = (sig[i + 1 :] == sig[i]).mean(1)
+def _grown(sig: np.ndarray, group: np.ndarray) -> list[tuple[int, int, float]]:
+    """Matches that join the groups given (a number for each row) to those of all loosely like texts, each joined once."""
+    found, rest = [], np.arange(len(sig))
+    while len(rest) > 1:
+        inside = group[rest] == group[rest[0]]
+        queue, rest = rest[inside].tolist(), rest[~inside]
+        while queue and len(rest):
+            x = queue.pop()
+            s = (sig[rest] == sig[x]).mean(1)
             near = np.flatnonzero(s >= LOOSE)
-            led[near + i + 1] = True
-            found += [(i, j + i + 1, s[j]) for j in near]
-    if n > 2:
-        s = (sig[1:] == sig[:-1]).mean(1)
-        found += [(i, i + 1, s[i]) for i in np.flatnonzero(s >= LOOSE)]
-    return found, is_leader
+            if len(near):
+                found += [(x, int(y), v) for y, v in zip(rest[near], s[near], strict=True)]
+                joined = np.isin(group[rest], group[rest[near]])
+                queue += rest[joined].tolist()
+                rest = rest[~joined]
+    return found
 
 
 def _matched(label: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (as row numbers) of texts that share the least prefix; rows are sorted by label."""
     edges: list[tuple[int, int]] = []
+    sims: list[float] = []
+    met, group = np.zeros(len(label), bool), np.arange(len(label))
     for depth in range(DEPTH, LEAST - 1, -1):
         new = np.flatnonzero((label[1:, :depth] != label[:-1, :depth]).any(1)) + 1
-        bounds, sims, met = [0, *new, len(label)], [], np.zeros(len(label), bool)
+        bounds, had = [0, *new, len(label)], len(edges)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                for i, j, s in _leaders(sig[a:b])[0]:
+                for i, j, s in _grown(sig[a:b], group[a:b]):
                     edges.append((a + i, a + j))
                     sims.append(s)
                     met[[a + i, a + j]] = True
+        if len(edges) > had:
+            group = _roots(len(label), np.array(edges))
         if sims and met.all() and len(sims) >= RECALL * (1 / _chance(np.array(sims), depth)).sum():
             break
     return edges
@@ -188,10 +195,6 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds = np.concatenate(([0], new))
         held = rows.iloc[bounds[-1] :]
         out = [edges_of(rows.iloc[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
-        if len(held) > 50_000:  # go on with the leaders of what is there
-            out.append(edges_of(held))
-            sig = np.frombuffer(b"".join(held["sig"]), np.uint8).reshape(-1, _SLOTS)
-            held = held[_leaders(sig)[1]]
         if out:
             a, b = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
             yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
@@ -270,36 +273,47 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, keep_text_h
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                s = signatures(part.column("text").to_pylist())
+            for part in slices(batch, "text"):
+                s, count = signatures(part.column("text").to_pylist())
                 labels = s.reshape(-1, TREES, DEPTH).astype(">u4").tobytes()
                 low = _mixed(s.astype(np.uint64)).astype(np.uint8).tobytes()
                 n = TREES * DEPTH * 4
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("sha"), pa.array([labels[k : k + n] for k in range(0, len(labels), n)], pa.binary()), pa.array([low[k : k + _SLOTS] for k in range(0, len(low), _SLOTS)], pa.binary())],
-                    ["sha", "labels", "sig"],
+                    [part.column("sha"), pa.array([labels[k : k + n] for k in range(0, len(labels), n)], pa.binary()), pa.array([low[k : k + _SLOTS] for k in range(0, len(low), _SLOTS)], pa.binary()), pa.array(count, pa.int64())],
+                    ["sha", "labels", "sig", "shingles"],
                 )
 
-    signed = keyed.select("sha", F.col("text").cast("binary").alias("text")).mapInArrow(sign, "sha binary, labels binary, sig binary")
-    nodes = signed.groupBy("sha").agg(F.first("labels").alias("labels"), F.first("sig").alias("sig"))
+    signed = keyed.select("sha", F.col("text").cast("binary").alias("text")).mapInArrow(sign, "sha binary, labels binary, sig binary, shingles bigint")
+    nodes = signed.groupBy("sha").agg(F.first("labels").alias("labels"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     width = DEPTH * 4
-    trees = nodes.select("node", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.col("labels").substr(t * width + 1, F.lit(width)).alias("label")))).alias("t"))
-    trees = trees.select("node", "sig", F.col("t.label").alias("label"), F.xxhash64("t.tree", F.substring("t.label", 1, LEAST * 4)).alias("key"))
+    label = lambda t: F.col("labels").substr(t * width + 1, F.lit(width))
+    prefix = lambda t: F.xxhash64(t, F.substring(label(t), 1, LEAST * 4))
+    every_tree = lambda f: F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), f))
+    keys = nodes.select("node", every_tree(prefix).alias("key"))
+    full = stored(keys.groupBy("key").count().filter(F.col("count") > FULL).select("key"), "join-full")
+    trees = nodes.select("node", "sig", every_tree(lambda t: F.struct(prefix(t).alias("key"), label(t).alias("label"))).alias("t")).select("node", "sig", "t.*")
+    some_full = not full.isEmpty()
+    if some_full:
+        trees = trees.join(small(full), "key", "left_anti")
     trees = trees.repartition("key").sortWithinPartitions("key", "label", "node")
     edges = trees.select("key", "label", "node", "sig").mapInPandas(_forest, "a bigint, b bigint")
+    if some_full:
+        many = keys.join(small(full), "key")
+        first = stored(many.groupBy("key").agg(F.min("node").alias("b")), "join-full-groups")
+        edges = edges.unionByName(many.join(small(first), "key").select(F.col("node").alias("a"), "b"))
     groups = components(edges, "join-groups")
 
     # exact verification inside groups
-    members = stored(groups.join(nodes.select("node", "sha"), "node"), "join-members")
+    members = stored(groups.join(nodes.select("node", "sha", "shingles"), "node"), "join-members")
     per_sha = rids.groupBy("sha").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"))
-    sizes = members.groupBy("root").agg(F.count("*").alias("texts"))
-    members = members.join(sizes, "root").join(per_sha, "sha").withColumn("blocks", F.ceil(F.col("texts") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = stored(members.groupBy("root").agg(blocks.alias("blocks")).filter("blocks > 1"), "join-large")
+    members = members.join(small(sizes), "root", "left").join(per_sha, "sha").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = stored(members.select("sha", "node", "root", "copies", "blocks", "block"), "join-blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, "text")):
             h, first = shingles(batch.column("text").to_pylist())
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("node", "root", "copies", "blocks", "block")} | {"shingles": pa.array(sets, pa.binary())})
@@ -327,7 +341,6 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, keep_text_h
     repeated = repeated.select("sha", F.coalesce("links", F.lit(0)).alias("links"), F.col("class"))
     known = per_sha.filter("copies > 1").select("sha", "copies").join(repeated, "sha", "right")
     known = stored(known.select("sha", F.coalesce("copies", F.lit(1)).alias("copies"), "links", F.coalesce(F.col("class").cast("string"), F.hex("sha")).alias("class")), "join-known")
-    n = known.count()
     out = stored(rids.join(small(known), "sha", "left").select("doc_id", "rid", "_hash", "class", (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")), "join-out")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("first")
     classes = out.filter("class is not null").groupBy("class").agg(first, F.count("*").alias("class_size"))
