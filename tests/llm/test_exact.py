@@ -91,6 +91,20 @@ def test_warc_round_trip(spark, tmp_path, roll):
     assert sorted(r["sha256"] for r in again.collect()) == sorted(r["sha256"] for r in manifest.collect())
 
 
+def test_warc_shards_are_fixed(spark, tmp_path):
+    """Many shards: the same files whatever the partitions; identifiers with gaps, far ends and one with a third of the rows."""
+    ids = [*range(6000), *(10**12 + 7 * k for k in range(4000)), -(2**62), 2**62, *[77] * 5000, *[None] * 50]
+    pages = spark.createDataFrame([(i, f"http://h/{k % 9}", f"<p>{k % 4000}" * 20) for k, i in enumerate(ids)], "page_id bigint, url string, html string")
+    hashes = []
+    for n in (3, 7):
+        folder = f"file://{tmp_path}/s{n}"
+        files = warc.write_warc(pages.repartition(n), folder, roll_bytes=20_000, shard_bytes=100_000).collect()
+        assert len({f["shard"] for f in files}) > 30
+        hashes.append(sorted((f["path"], f["sha256"]) for f in files))
+        assert warc.read_warc(spark, folder).count() == len(ids)
+    assert hashes[0] == hashes[1]
+
+
 def test_warc_damage_is_seen(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:3], "page_id bigint, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/w")

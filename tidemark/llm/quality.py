@@ -4,7 +4,10 @@ Two dictionaries are trained, one on texts labelled good and one on texts labell
 in blocks of ``BLOCK`` bytes, with either dictionary and with none. The difference of the compressed sizes, normalised by
 the text's size, is calibrated to a probability by logistic regression over that difference, the normalised sizes and
 the logarithm of the length, with their products. Both steps learn from a sample of at most about ``fit_rows`` labelled
-rows of ``fit_chars`` code points each, never from held-out rows; scoring reads every text to its end.
+rows in order of a hash, whole texts of at most ``fit_chars`` code points, never from held-out rows: one half of it
+makes the dictionaries, of at most ``dictionary_text`` bytes of either label in pieces from all over the texts, and the
+other half calibrates (all of it does both if a half has fewer than ``LEAST`` of a label). Scoring reads every text to
+its end.
 
 Defined cases: null text counts as empty and gets the calibrated score of an empty text; if no labelled row of either
 kind exists the score is 0.5 for all; repeated rows get equal scores; a null ``doc_id`` is not held out; extra columns
@@ -21,17 +24,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import slices, table, text_or_empty
 from tidemark.llm.labelled import held_out, teaching_sample
 
 BLOCK = 4096
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
+#: Bytes of the pieces of text that dictionaries are made of.
+PIECE = 1024
+#: Rows of a label that a half of the sample needs.
+LEAST = 20
 
 
 class CompressionClassifier:
-    def __init__(self, fit_rows: int = 8000, fit_chars: int = 16_000):
-        self.fit_rows, self.fit_chars = fit_rows, fit_chars
+    def __init__(self, fit_rows: int = 4000, fit_chars: int = 60_000, dictionary_text: int = 8 << 20):
+        self.fit_rows, self.fit_chars, self.dictionary_text = fit_rows, fit_chars, dictionary_text
         self.dictionaries: list[bytes] | None = None
 
     # sizes ---------------------------------------------------------------------------------------------------------
@@ -58,19 +65,21 @@ class CompressionClassifier:
         if len(set(labels.tolist())) < 2:
             return self
         data = [t.encode() for t in texts]
+        half = np.arange(len(labels)) % 2 == 0
+        teach, test = (half, ~half) if min(np.bincount(labels[k], minlength=2).min() for k in (half, ~half)) >= LEAST else (half | True, half | True)
         self.dictionaries = []
         for label in (0, 1):
-            pieces, left = [], 8 << 20
-            for t, y in zip(data, labels, strict=True):
-                if y == label and left > 0:
-                    pieces += [t[k : k + 1024] for k in range(0, len(t), 1024)]
-                    left -= len(t)
+            mine = [t for t, k in zip(data, teach & (labels == label), strict=True) if k]
+            pieces = [t[k : k + PIECE] for t in mine for k in range(0, len(t), PIECE)]
+            step = max(1, -(-sum(map(len, pieces)) // self.dictionary_text))
+            pieces = pieces[::step]
             pieces = [p for p in pieces if len(p) >= 8]
             try:
                 self.dictionaries.append(zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes())
             except zstandard.ZstdError:  # too little text for training: the text itself serves as raw dictionary
                 self.dictionaries.append((b"\n".join(pieces) or b"\n" * 8)[-DICTIONARY_BYTES:])
         compressors = self.compressors()
+        data, labels = [t for t, k in zip(data, test, strict=True) if k], labels[test]
         x = np.array([self.features(t, compressors) for t in data])
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z, y = self._expanded(x), labels.astype(float)
@@ -91,7 +100,7 @@ class CompressionClassifier:
 
     # use -----------------------------------------------------------------------------------------------------------
     def fitted(self, docs: DataFrame, labels: DataFrame, label: str = "quality") -> CompressionClassifier:
-        sample = teaching_sample(docs, labels, label, self.fit_rows, self.fit_chars)
+        sample = teaching_sample(docs, labels, label, self.fit_rows, self.fit_chars, whole=True)
         return self.fit(sample["text"].tolist(), sample["label"].to_numpy())
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -100,7 +109,7 @@ class CompressionClassifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compressors = model.compressors() if model.dictionaries else []
-            for batch in batches:
+            for batch in (part for b in batches for part in slices(b, "text")):
                 texts = batch.column("text").to_pylist()
                 out = model.scores(texts, compressors) if compressors else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])

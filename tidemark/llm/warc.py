@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer, and a reader that verifies what it reads.
 
-Records are range-sorted by identifier, so that each task holds a contiguous range and writes it as a shard. A shard is
-rolled into files by compressed size. Every record is a gzip member of its own, with regenerated headers: record ids
+Records are range-sorted by identifier. The ranges are those of a histogram of all records, refined until a shard holds
+about ``shard_bytes`` of payload or a single identifier, and depend on the records alone: not on a sample, partitions or
+the size of the cluster. Each shard is written by one task, which rolls it into files by compressed size. Every record is a gzip member of its own, with regenerated headers: record ids
 come from (page, digest), dates from a parameter, digests from the payload, so that the same input gives the same bytes.
 Of records with equal payloads of at least ``min_revisit_bytes`` the smallest identifier is a response and the others
 are revisits without payload.
@@ -23,8 +24,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ from tidemark.llm.common import scratch, small, stored, table
 
 MIN_REVISIT_BYTES = 100
 ROLL_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
+#: Bits of the identifier by which the histogram is refined at a time.
+_BITS = 6
+#: Files are read by at most so many tasks.
+MOST_TASKS = 20_000
 DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "shard long, part long, path string, records long, bytes long, sha256 string"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -73,14 +80,43 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
     return rows.select("page_id", "url", F.when(~revisit, F.col("html").cast("binary")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> DataFrame:
+def shard_edges(rows: DataFrame, shard_bytes: int) -> list[int]:
+    """The first identifiers of all shards but the first, in order, for rows (page_id, size). Rows without identifier are in the first."""
+    keys = rows.filter("page_id is not null").select(F.col("page_id").bitwiseXOR(F.lit(-(2**63))).alias("u"), (F.col("size") + 500).alias("size"))
+    low, high = (None if x is None else x + 2**63 for x in rows.agg(F.min("page_id"), F.max("page_id")).first())
+    if low is None:
+        return []
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    at = lambda bits: F.shiftrightunsigned("u", bits) if bits < 64 else F.lit(0).cast("bigint")
+    # identifiers by their first bits; ranges that are too large are told apart by _BITS more
+    bits, part, leaves = (low ^ high).bit_length(), keys, []
+    while part is not None:
+        below = max(0, bits - _BITS)
+        wide = []
+        for r in part.groupBy(at(below).alias("first")).agg(F.sum("size").alias("size")).collect():
+            first = r["first"] % 2**64
+            if below and r["size"] > shard_bytes:
+                wide.append(signed(first))
+            else:
+                leaves.append((first << below, r["size"]))
+        bits, part = below, keys.filter(at(below).isin(wide)) if wide else None
+    edges, held = [], 0
+    for first, size in sorted(leaves):
+        if held and held + size > shard_bytes:
+            edges.append(first - 2**63)
+            held = 0
+        held += size
+    return edges
+
+
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) below ``folder``, which all executors share; returns the manifest."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as files
 
         fs, root = files.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (files.LocalFileSystem(), folder)
-        number, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        number, attempt = -1, uuid.uuid4().hex
         out, part, done = None, 0, []
 
         def close() -> None:
@@ -93,10 +129,15 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_
 
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "payload", "size", "digest", "refers_to")]
+            shards = batch.column("shard").to_pylist()
             for k in range(batch.num_rows):
+                if shards[k] != number:
+                    if out is not None:
+                        close()
+                    number, part = shards[k], 0
                 if out is None:
                     fs.create_dir(f"{root}/_temporary", recursive=True)
-                    temporary = f"{root}/_temporary/{attempt}-{part}"
+                    temporary = f"{root}/_temporary/{attempt}-{number}-{part}"
                     out, records, size, digest = fs.open_output_stream(temporary), 0, 0, hashlib.sha256()
                 data = _gzip(record(*(c[k].as_py() for c in columns), date=date))
                 out.write(data)
@@ -109,12 +150,19 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "part", "path", "records", "bytes", "sha256"), x, strict=True)) for x in done])
 
-    rows = _revisits(pages, min_revisit_bytes)
-    # page_id first; url and digest deal out rows that share an id
-    rows = rows.repartitionByRange("page_id", "url", "digest").sortWithinPartitions("page_id", "url", "digest")
+    spark = pages.sparkSession
+    sizes = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint").alias("size"))
+    edges = shard_edges(sizes, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(edges, np.int64), key.to_numpy(np.int64), "right"))
+
+    rows = _revisits(pages, min_revisit_bytes).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63)))))
+    rows = rows.repartitionByRange(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "digest", "refers_to")
     manifest = rows.mapInArrow(shard, _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
-    return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 
 
 def read_warc(spark: SparkSession, folder: str, verify: bool = True) -> DataFrame:
@@ -170,7 +218,8 @@ def read_warc(spark: SparkSession, folder: str, verify: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return manifest.repartition("path").mapInArrow(load, _RECORDS)
+    files = manifest.count()
+    return manifest.repartition(max(1, min(files, MOST_TASKS))).mapInArrow(load, _RECORDS)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
