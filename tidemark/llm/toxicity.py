@@ -13,8 +13,8 @@ are as many, whole texts of at most ``fit_chars`` code points, marked ones of a
 others of the rest. The calibration weighs them as
 all labelled rows. One input of a word and of a character n-gram begins with how far its texts exceed the share of
 marked texts, so that a few dozen marked texts teach something. Scoring reads all windows of all texts in tasks, a
-bounded number of bytes at a time; a long text is cut between words, where a window of the whole text begins. (Only in
-a run without separators of over ``_BYTES / 4`` may its words begin elsewhere.)
+bounded number of bytes at a time; a long text is cut between words, where a window of the whole text begins. (Where a
+cut falls within a run of over ``LONG`` bytes, the words of its rest may begin elsewhere.)
 
 Defined cases: null text counts as empty; a text without words is one empty window; if labelled rows of one kind
 only exist the score is that label for all, and 0 (nothing is rejected) if there are none; repeated rows get equal scores; a null ``doc_id`` is not held out; extra columns are
