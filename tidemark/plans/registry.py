@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, models, prepare, quality
-from tidemark.plans import further, wider
+from tidemark.plans import further, more, wider
 from tidemark.functions.stats import norm_cdf_sql
 from tidemark.sources import tables
 
@@ -428,8 +428,8 @@ def best_forecast(spark, d):
 
 
 def queries() -> dict:
-    return QUERIES | wider.QUERIES | further.QUERIES
+    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | wider.ORACLES | further.ORACLES
+    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES
