@@ -312,11 +312,11 @@ def parameter_sweep(spark, d):
     return rounded(shocks.parameter_sweep(daily(spark, d).groupBy("series_id").agg(F.sum("value").alias("value")), (-0.1, 0.0, 0.1, 0.2), (-0.2, 0.0, 0.2)))
 
 
-@query("bankrupt_items", """WITH s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS supplier FROM lineitem), f AS (SELECT s_suppkey AS supplier FROM supplier WHERE s_nationkey < 12)
+@query("bankrupt_items", """WITH s AS (SELECT DISTINCT l_partkey AS item, l_suppkey AS supplier FROM lineitem), f AS (SELECT s_suppkey AS supplier FROM supplier WHERE s_nationkey <> 7)
 SELECT DISTINCT item FROM s WHERE supplier IN (SELECT supplier FROM f) AND item NOT IN (SELECT item FROM s WHERE supplier NOT IN (SELECT supplier FROM f))""")
 def bankrupt_items(spark, d):
     supplied = tables.table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("supplier"))
-    return shocks.bankrupt_items(supplied, tables.table(spark, d, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("supplier")))
+    return shocks.bankrupt_items(supplied, tables.table(spark, d, "supplier").filter("s_nationkey <> 7").select(F.col("s_suppkey").alias("supplier")))
 
 
 @query("bottlenecks", """WITH s AS (SELECT l_returnflag AS route, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS DOUBLE) AS days, CASE WHEN l_linenumber = 1 THEN 0.5 END AS severity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -330,7 +330,7 @@ def bottlenecks(spark, d):
     return rounded(out.groupBy("route").agg(F.count("*").alias("shipments"), *(F.avg(c).alias(c) for c in ("days", "adjusted", "delay"))))
 
 
-@query("scenario_weights", "SELECT * FROM (VALUES ('promotion_lift', 0.3 / 0.8), ('holiday_shift', 0.2 / 0.8), ('price_elasticity', 0.2 / 0.8), ('supply_disruption', 0.1 / 0.8)) v(name, p)")
+@query("scenario_weights", "SELECT name, round(p / sum(p) OVER (), 4) AS p FROM (VALUES ('promotion_lift', 0.3::DOUBLE), ('holiday_shift', 0.2::DOUBLE), ('price_elasticity', 0.2::DOUBLE), ('supply_disruption', 0.1::DOUBLE)) v(name, p)")
 def scenario_weights(spark, d):
     return rounded(report.scenario_weights(spark.createDataFrame([("promotion_lift", 0.3), ("holiday_shift", 0.2), ("price_elasticity", 0.2), ("supply_disruption", 0.1)], "name string, p double")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import plugins
 from tidemark.functions import holidays
+from tidemark.functions.significance import f_p_value
 from tidemark.operators import causal, decompose, features, models, multi, quality, regress, scenarios
 from tidemark.sources import tables
 
@@ -164,7 +165,8 @@ def diff_in_diff(spark, d):
 
 @query("granger_edges")
 def granger_edges(spark, d):
-    return rounded(causal.granger_edges(tables.daily_events(spark, d)))
+    edges = causal.granger_edges(tables.daily_events(spark, d))
+    return rounded(edges.withColumn("p", f_p_value(F.col("f"), F.col("df1"), F.col("df2"))))
 
 
 @query(
@@ -283,7 +285,13 @@ def characteristics(spark, d):
     return rounded(features.characteristics(tables.daily_events(spark, d)))
 
 
-@query("recommended_methods")
+@query(
+    "recommended_methods",
+    f"""WITH {DAILY}, l AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY idx) AS b, avg(value) OVER (PARTITION BY series_id) AS m FROM p),
+c AS (SELECT series_id, count(*) AS n, regr_r2(value, idx) AS r2, stddev_pop(value) / avg(value) AS cv, avg(CASE WHEN value = 0 THEN 1.0 ELSE 0.0 END) AS zeros, sum((value - m) * (b - m)) / sum(pow(value - m, 2)) AS acf1 FROM l GROUP BY 1)
+SELECT series_id, CASE WHEN n < 10 THEN 'naive' WHEN zeros > 0.3 THEN 'croston' WHEN r2 > 0.5 OR acf1 > 0.5 THEN 'holt' WHEN cv < 0.1 THEN 'mean' ELSE 'theta' END AS method,
+CASE WHEN n < 10 THEN 'very short series' WHEN zeros > 0.3 THEN 'intermittent demand' WHEN r2 > 0.5 THEN 'strong trend' WHEN acf1 > 0.5 THEN 'strong persistence' WHEN cv < 0.1 THEN 'stable level' ELSE 'no dominant trait' END AS reason FROM c""",
+)
 def recommended_methods(spark, d):
     return features.recommend(features.characteristics(tables.daily_events(spark, d)))
 
@@ -386,7 +394,14 @@ def human_errors(spark, d):
     return quality.human_errors(tables.indexed(per))
 
 
-@query("quality_gates")
+@query(
+    "quality_gates",
+    f"""WITH {DAILY}, v AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, idx - row_number() OVER (PARTITION BY series_id, value IS NULL ORDER BY idx) AS run FROM p WINDOW w AS (PARTITION BY series_id)),
+g AS (SELECT series_id, count(*) AS gaps FROM (SELECT series_id, run FROM v WHERE value IS NULL GROUP BY 1, 2 HAVING count(*) > 2) GROUP BY 1),
+c AS (SELECT series_id, count(*) AS n, round(100.0 * count(value) / count(*), 2) AS coverage, count(*) FILTER (sd > 0 AND abs(value - m) / sd > 2.5) AS outliers FROM v GROUP BY 1),
+e AS (SELECT c.*, coalesce(gaps, 0) AS gaps, CASE WHEN coalesce(gaps, 0) > 0 THEN 1 ELSE 0 END AS e, CASE WHEN outliers > 0 THEN 1 ELSE 0 END + CASE WHEN coverage < 100 THEN 1 ELSE 0 END AS w FROM c LEFT JOIN g USING (series_id))
+SELECT series_id, coverage, gaps, outliers, CASE WHEN e + w > 0 THEN round(100 * (1 - (3 * e + w) / (3.0 * (e + w))), 1) ELSE 100.0 END AS health, coverage >= 95 AND gaps <= 1 AND outliers <= 0.05 * n AS passed FROM e""",
+)
 def quality_gates(spark, d):
     return quality.gates(tables.daily_events(spark, d))
 
