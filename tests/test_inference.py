@@ -66,3 +66,18 @@ def test_empty_and_tied(spark):
         assert out.count() == 0
     tied = report.top_points(points(spark, {"s": [1, 1, 1, 1, 9, 9]}), 2).collect()
     assert [(r["rank"], r["idx"]) for r in tied] == [(1, 4), (2, 5)]
+
+
+def test_wide_csv(spark, tmp_path):
+    from tidemark.sources import tables
+
+    (tmp_path / "w.csv").write_text("when,a,b\n2024-01-03,3,30\n2024-01-01,1,10\n2024-01-02,,20\n\n2024-01-04,4,\n")
+    rows, left_out = tables.read_wide_csv(spark, str(tmp_path / "w.csv"))
+    assert [(r["a"], r["b"]) for r in rows.collect()] == [(1.0, 10.0), (3.0, 30.0)] and left_out == 2
+    rows, left_out = tables.read_wide_csv(spark, str(tmp_path / "w.csv"), value_columns=["a"])
+    assert rows.columns == ["t", "a"] and rows.count() == 3 and left_out == 1
+    (tmp_path / "x.csv").write_text("t,a\n2024-01-01,one\n")
+    with pytest.raises(ValueError, match="bad row"):
+        tables.read_wide_csv(spark, str(tmp_path / "x.csv"))
+    with pytest.raises(ValueError, match="no column"):
+        tables.read_wide_csv(spark, str(tmp_path / "x.csv"), "nope")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf
 from tidemark.operators.models import FINE
+from tidemark.sources import tables
 from tidemark.sources.tables import arrays
 
 
@@ -68,18 +69,16 @@ def exceedance(forecasts: DataFrame, limit: Column, z: float) -> DataFrame:
     return out.withColumn("density", F.exp(-at * at / 2) / (F.col("sd") * math.sqrt(2 * math.pi))).withColumn("p_above", 1 - norm_cdf(at))
 
 
-def cascade(edges: DataFrame, start: DataFrame, seed: int = 1, most_rounds: int = 50) -> DataFrame:
+def cascade(edges: DataFrame, start: DataFrame, seed: int = 1) -> DataFrame:
     """(node, round): what a disruption of ``start`` (node) reaches over ``edges`` (src, dst, p), each passed with its chance.
 
     Whether an edge passes depends on (seed, src, dst) alone. Every node is reached once, so that cycles end."""
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    tables.shared_dir(edges.sparkSession)
     draw = (F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     open_edges = edges.filter(draw < F.col("p")).select("src", "dst")
     found = start.select("node", F.lit(0).alias("round")).distinct().checkpoint()
     front = found
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):  # ends when nothing new is reached
         front = open_edges.join(front, open_edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
         front = front.join(found, "node", "left_anti").withColumn("round", F.lit(k)).checkpoint()
         if front.isEmpty():

@@ -6,6 +6,8 @@ the order of rows. Session time zone is UTC.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, also set for checkpoints. Where none is set, a new local one if Spark runs in one process, else an error."""
+    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        held = tempfile.mkdtemp(prefix="tidemark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(held)
+    return held.rstrip("/")
+
+
 def indexed(points: DataFrame, order: tuple[str, ...] = ("t",)) -> DataFrame:
     """Adds ``idx``: 0, 1, ... by time within the series."""
     return points.withColumn("idx", F.row_number().over(Window.partitionBy("series_id").orderBy(*order)) - 1)
@@ -85,3 +99,22 @@ def read_series_csv(spark: SparkSession, path: str, time_column: str | None = No
         raise ValueError(f"bad row: time {bad['raw_t']!r}, value {bad['raw_v']!r}")
     points = rows.filter(~empty).select(F.lit("series").alias("series_id"), "t", "value", "line")
     return indexed(points, ("t", "line")), rows.filter(empty).select("line", F.lit("empty value").alias("reason"))
+
+
+def read_wide_csv(spark: SparkSession, path: str, time_column: str | None = None, value_columns: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(rows in order of time: t and one double for each value column, number of rows left out because a chosen cell is empty) of a CSV with header.
+
+    The first column is the time and all others are values unless named; other bad cells raise."""
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    time = time_column or raw.columns[0]
+    names = value_columns or [c for c in raw.columns if c != time]
+    if unknown := [c for c in (time, *names) if c not in raw.columns]:
+        raise ValueError(f"no column {unknown[0]}; there are {', '.join(raw.columns)}")
+    cells = [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in (time, *names)]
+    rows = raw.select(F.array(*cells).alias("cells"), F.col(f"`{time}`").alias("raw_t"))
+    rows = rows.select("cells", parsed_time("raw_t").alias("t"), *(F.expr(f"try_cast(cells[{k + 1}] AS DOUBLE)").alias(c) for k, c in enumerate(names)))
+    full = ~F.array_contains("cells", "")
+    bad = rows.filter(full & (F.col("t").isNull() | F.greatest(*(F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`")) for c in names), F.lit(False)))).head()
+    if bad:
+        raise ValueError(f"bad row: {', '.join(bad['cells'])}")
+    return rows.filter(full).drop("cells").orderBy("t"), rows.filter(~full).count()

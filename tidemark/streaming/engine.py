@@ -6,7 +6,6 @@ inputs. Points at or before the last time of their series are dropped as repeats
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources import tables
 from tidemark.sources.tables import table
 
 _OUT = "series_id string, points long, dropped long, mean double, sd double, drift boolean, next double"
@@ -58,8 +58,7 @@ class IncrementalState:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(held or tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
