@@ -19,6 +19,7 @@ an empty mix; rows repeated with the same id and text are rows of their own; ext
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small, stored, table, text_or_empty
 
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Rows whose prefix sum one task makes.
-_CHUNK_ROWS = 20_000
+#: Least number of rows whose prefix sum one task makes; with more rows, their square root: chunks and rows of a chunk grow alike.
+_CHUNK_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, most_repeats: float = 3.0) -> DataFrame:
@@ -86,7 +87,8 @@ class Mix:
         n_sources = known.count()
 
         # places in the stream: chunks first, then the rows of a chunk
-        chunks = max(1, -(-rows.count() // _CHUNK_ROWS))
+        n_rows = rows.count()
+        chunks = max(1, -(-n_rows // max(_CHUNK_ROWS, math.isqrt(n_rows))))
         rows = rows.join(small(known), rows["source"].eqNullSafe(known["name"])).drop("name")
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)))
         totals = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
