@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, models, prepare, quality
-from tidemark.plans import further, more, wider
+from tidemark.plans import further, latest, more, wider
 from tidemark.functions.stats import norm_cdf_sql
 from tidemark.sources import tables
 
@@ -168,7 +168,20 @@ def holt_fit(spark, d):
     return rounded(f.select("series_id", F.round("alpha", 2).alias("alpha"), F.round("beta", 2).alias("beta"), F.sqrt(F.col("sse") / (F.col("n") - 3)).alias("sigma"), "level", "trend"))
 
 
-@query("holt_damped")
+@query(
+    "holt_damped",
+    f"""WITH RECURSIVE {DAILY},
+grid AS (SELECT a / 10.0::DOUBLE AS alpha, b / 10.0::DOUBLE AS beta, CAST(phi AS DOUBLE) AS phi FROM range(1, 10) x(a), range(1, 10) y(b), (SELECT unnest([0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98]) AS phi)),
+r AS (
+  SELECT p.series_id, alpha, beta, phi, 0::BIGINT AS idx, p.n, p.value AS level, q.value - p.value AS trend, 0::DOUBLE AS sse FROM p JOIN p q ON p.series_id = q.series_id AND p.idx = 0 AND q.idx = 1, grid
+  UNION ALL
+  SELECT r.series_id, alpha, beta, phi, p.idx, p.n, alpha * p.value + (1 - alpha) * (level + phi * trend),
+         beta * (alpha * p.value + (1 - alpha) * (level + phi * trend) - level) + (1 - beta) * phi * trend, sse + pow(p.value - level - phi * trend, 2)
+  FROM r JOIN p ON p.series_id = r.series_id AND p.idx = r.idx + 1
+), best AS (SELECT *, sqrt(sse / greatest(n - 4, 1)) AS sigma FROM r WHERE idx = n - 1 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, alpha, beta, phi) = 1),
+f AS (SELECT *, level + trend * phi * (1 - pow(phi, h)) / (1 - phi) AS point FROM best, range(1, 8) s(h))
+SELECT series_id, 'holt_damped' AS method, CAST(h AS INT) AS h, round(point, 4) AS point, round(point - 1.2816 * sigma * sqrt(h), 4) AS lower, round(point + 1.2816 * sigma * sqrt(h), 4) AS upper FROM f WHERE n >= 4""",
+)
 def holt_damped(spark, d):
     return rounded(models.forecast(tables.daily_events(spark, d), 7, methods=("holt_damped",)))
 
@@ -428,8 +441,8 @@ def best_forecast(spark, d):
 
 
 def queries() -> dict:
-    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES
+    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES
+    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES
