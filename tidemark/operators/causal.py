@@ -20,13 +20,25 @@ def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
 
 
 def nearest(times: DataFrame, points: DataFrame) -> DataFrame:
-    """(name, when, idx): for each named time the nearest point's idx, of two equally near the earlier."""
-    before = as_of(times.select("name", F.col("when").alias("t"), F.lit(0).alias("k")), points.select(F.lit(0).alias("k"), "t", F.struct("t", "idx").alias("at")), "k", "t", "at")
-    after = points.select(F.lit(0).alias("k"), (-F.unix_micros(F.col("t").cast("timestamp"))).alias("m"), F.struct("t", "idx").alias("then"))
-    both = as_of(before.withColumn("m", -F.unix_micros(F.col("t").cast("timestamp"))), after, "k", "m", "then")
-    gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.t").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp")))
-    later = F.col("at").isNull() | (F.col("then").isNotNull() & (gap("then") < gap("at")))
-    return both.select("name", F.col("t").alias("when"), F.when(later, F.col("then.idx")).otherwise(F.col("at.idx")).alias("idx"))
+    """(name, when, idx): for each named time the nearest point's idx, of two equally near the earlier.
+
+    Points are searched by day; only each day's first and last point are carried over to other days, so that a task sorts
+    one day, and one row a day is sorted together."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day = lambda c: F.unix_date(F.to_date(c))
+    at = F.struct("t", "idx").alias("at")
+    known = points.select(day("t").alias("day"), "t", at, (-micros("t")).alias("m"))
+    asked = times.select("name", F.col("when").alias("t"), day("when").alias("day")).withColumn("m", -micros("t"))
+    days = known.groupBy("day").agg(F.min_by("at", "t").alias("first"), F.max_by("at", "t").alias("last")).unionByName(asked.select("day").distinct(), allowMissingColumns=True)
+    days = days.groupBy("day").agg(F.first("first", ignorenulls=True).alias("first"), F.first("last", ignorenulls=True).alias("last"))
+    one = Window.partitionBy(F.lit(0)).orderBy("day")
+    ends = days.select("day", F.last("last", ignorenulls=True).over(one.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", ignorenulls=True).over(one.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    before = as_of(asked, known.select("day", "t", "at"), "day", "t", "at")
+    both = as_of(before, known.select("day", "m", F.col("at").alias("then")), "day", "m", "then").join(ends, "day")
+    both = both.withColumn("at", F.coalesce("at", "earlier")).withColumn("then", F.coalesce("then", "later"))
+    gap = lambda c: F.abs(micros(f"{c}.t") - micros("t"))
+    follows = F.col("at").isNull() | (F.col("then").isNotNull() & (gap("then") < gap("at")))
+    return both.select("name", F.col("t").alias("when"), F.when(follows, F.col("then.idx")).otherwise(F.col("at.idx")).alias("idx"))
 
 
 def event_weights(events: DataFrame, steps: int, kind: str) -> DataFrame:

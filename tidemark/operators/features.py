@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -11,6 +14,7 @@ from pyspark.sql.window import WindowSpec
 from tidemark.operators.evaluate import backtest
 from tidemark.operators.models import forecast
 from tidemark.operators.prepare import autocorrelation
+from tidemark.sources.tables import arrays
 
 
 def _series() -> WindowSpec:
@@ -90,12 +94,19 @@ def changes(old: DataFrame, new: DataFrame, key: str, value: str, tolerance: flo
 
 
 def periodogram(points: DataFrame) -> DataFrame:
-    """(series_id, k, frequency, power) of the values padded with zeros to a power of two, power by the number of values."""
-    sizes = points.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("size", F.pow(F.lit(2), F.ceil(F.log2(F.col("n").cast("double")))).cast("int"))
-    each = points.join(sizes.filter("size >= 4"), "series_id").withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("size") / 2 - 1).cast("int"))))
-    angle = -2 * math.pi * F.col("k") * F.col("idx") / F.col("size")
-    sums = each.groupBy("series_id", "k", "n", "size").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im"))
-    return sums.select("series_id", "k", (F.col("k") / F.col("size")).alias("frequency"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+    """(series_id, k, frequency, power) of the values padded with zeros to a power of two, power by the number of values.
+
+    A fast transform per series, in tasks; a null counts as 0, a series of fewer than three values gives no row."""
+
+    def transform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, y in zip(batch["series_id"], batch["y"], strict=True):
+                size = 1 << (len(y) - 1).bit_length()
+                power = np.abs(np.fft.rfft(np.nan_to_num(np.asarray(y, float)), size)) ** 2 / len(y)
+                k = np.arange(1, size // 2)
+                yield pd.DataFrame({"series_id": key, "k": k, "frequency": k / size, "power": power[k]})
+
+    return arrays(points).filter("n >= 3").select("series_id", "y").mapInPandas(transform, "series_id string, k int, frequency double, power double")
 
 
 def elapsed_weekday(points: DataFrame, step_ms: int) -> DataFrame:

@@ -32,8 +32,8 @@ def _values(y: str = "y") -> Column:
     return F.col(y)
 
 
-def simple_fits(points: DataFrame, season: int | None = None) -> DataFrame:
-    """(series_id, method, n, sigma, a, b, ring) of naive, mean, drift, linear and, with a season, snaive.
+def simple_fits(points: DataFrame, season: int | None = None, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """(series_id, method, n, sigma, a, b, ring) of naive, mean, drift, linear and, with a season, snaive; of ``methods`` only, if given.
 
     The forecast of step h is ``a + b·h``, or ring[(h - 1) mod season] of the seasonal method."""
     s = arrays(points).filter("n >= 2")
@@ -49,34 +49,55 @@ def simple_fits(points: DataFrame, season: int | None = None) -> DataFrame:
     line = F.col("mean") - F.col("slope") * mid
     fit = lambda name, sg, a, b, ring=none: F.struct(F.lit(name).alias("method"), sg.alias("sigma"), a.alias("a"), b.alias("b"), ring.alias("ring"))
     zero = F.lit(0.0)
-    fits = [
-        fit("naive", sigma(steps(1), n - 1, 0), last, zero),
-        fit("mean", sigma(F.transform(y, lambda v: v - F.col("mean")), n, 1), F.col("mean"), zero),
-        fit("drift", sigma(F.transform(y, lambda v, i: v - (first + F.col("drift") * i)), n, 1), last, F.col("drift")),
-        F.when(n >= 3, fit("linear", sigma(F.transform(y, lambda v, i: v - (line + F.col("slope") * i)), n, 2), line + F.col("slope") * (n - 1), F.col("slope"))),
-    ]
+    fits = {
+        "naive": fit("naive", sigma(steps(1), n - 1, 0), last, zero),
+        "mean": fit("mean", sigma(F.transform(y, lambda v: v - F.col("mean")), n, 1), F.col("mean"), zero),
+        "drift": fit("drift", sigma(F.transform(y, lambda v, i: v - (first + F.col("drift") * i)), n, 1), last, F.col("drift")),
+        "linear": F.when(n >= 3, fit("linear", sigma(F.transform(y, lambda v, i: v - (line + F.col("slope") * i)), n, 2), line + F.col("slope") * (n - 1), F.col("slope"))),
+    }
     if season:
-        fits.append(F.when(n > season, fit("snaive", sigma(steps(season), n - season, 0), zero, zero, F.slice(y, n - season + 1, F.lit(season)))))
-    return s.select("series_id", "n", F.explode(F.array_compact(F.array(*fits))).alias("f")).select("series_id", "n", "f.*")
+        fits["snaive"] = F.when(n > season, fit("snaive", sigma(steps(season), n - season, 0), zero, zero, F.slice(y, n - season + 1, F.lit(season))))
+    asked = [f for name, f in fits.items() if methods is None or name in methods]
+    if not asked:
+        return s.filter(F.lit(False)).select("series_id", "n", fits["naive"].alias("f")).select("series_id", "n", "f.*")
+    return s.select("series_id", "n", F.explode(F.array_compact(F.array(*asked))).alias("f")).select("series_id", "n", "f.*")
 
 
 def holt_fits(points: DataFrame, damped: bool = False) -> DataFrame:
-    """(series_id, n, alpha, beta, phi, sse, level, trend): the grid point of least squared error, the first of equals."""
-    s = arrays(points).filter(f"n >= {LEAST_POINTS['holt']}")
-    grid = [F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(p).alias("phi")) for a in FINE for b in FINE for p in (DAMPING if damped else [1.0])]
-    s = s.select("series_id", "n", "y", F.explode(F.array(*grid)).alias("g")).select("series_id", "n", "y", "g.*")
-    start = F.struct(F.element_at("y", 1).alias("level"), (F.element_at("y", 2) - F.element_at("y", 1)).alias("trend"), F.lit(0.0).alias("sse"))
+    """(series_id, n, alpha, beta, phi, sse, level, trend): the grid point of least squared error, the first of equals.
+
+    All grid points of up to 32 series, the longest first, run together in a task; a null value makes all of a fit null."""
+    grid = np.array([(a, b, p) for a in FINE for b in FINE for p in (DAMPING if damped else [1.0])])
+    least, slots = LEAST_POINTS["holt"], 32
+
+    def smooth(many: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alpha, beta, phi = (c[None, :] for c in grid.T)
+        sizes = np.array([len(y) for y in many])
+        y = np.zeros((sizes[0], len(many)))
+        for k, one in enumerate(many):
+            y[: len(one), k] = one
+        level = np.repeat(y[0][:, None], len(grid), 1)
+        trend, sse = np.repeat((y[1] - y[0])[:, None], len(grid), 1), np.zeros((len(many), len(grid)))
+        for t in range(1, len(y)):
+            on = slice(0, int((sizes > t).sum()))
+            v, was = y[t, on, None], level[on].copy()
+            ahead = was + phi * trend[on]
+            level[on] = alpha * v + (1 - alpha) * ahead
+            trend[on] = beta * (level[on] - was) + (1 - beta) * phi * trend[on]
+            sse[on] += (v - ahead) ** 2
+        return level, trend, sse
 
-    def step(state: Column, v: Column) -> Column:
-        ahead = state["level"] + F.col("phi") * state["trend"]
-        level = F.col("alpha") * v + (1 - F.col("alpha")) * ahead
-        trend = F.col("beta") * (level - state["level"]) + (1 - F.col("beta")) * F.col("phi") * state["trend"]
-        return F.struct(level.alias("level"), trend.alias("trend"), (state["sse"] + (v - ahead) * (v - ahead)).alias("sse"))
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("n", ascending=False, kind="stable")
+            for low in range(0, len(batch), slots):
+                part = batch.iloc[low : low + slots]
+                level, trend, sse = smooth([np.asarray(y, float) for y in part["y"]])
+                k, rows = np.nanargmin(np.where(np.isnan(sse), np.inf, sse), 1), np.arange(len(part))
+                yield pd.DataFrame({"series_id": part["series_id"], "n": part["n"], "alpha": grid[k, 0], "beta": grid[k, 1], "phi": grid[k, 2], "sse": sse[rows, k], "level": level[rows, k], "trend": trend[rows, k]})
 
-    s = s.withColumn("r", F.aggregate(F.slice("y", 2, F.col("n") - 1), start, step))
-    best = F.min_by(F.struct("alpha", "beta", "phi", "r"), F.struct("r.sse", "alpha", "beta", "phi"))
-    out = s.groupBy("series_id", "n").agg(best.alias("b"))
-    return out.select("series_id", "n", "b.alpha", "b.beta", "b.phi", "b.r.sse", "b.r.level", "b.r.trend")
+    fields = "series_id string, n int, alpha double, beta double, phi double, sse double, level double, trend double"
+    return arrays(points).filter(f"n >= {least}").select("series_id", "n", "y").mapInPandas(fit, fields)
 
 
 def _damped_sum(phi: Column, h: Column) -> Column:
@@ -85,7 +106,7 @@ def _damped_sum(phi: Column, h: Column) -> Column:
 
 def forecast(points: DataFrame, horizon: int, interval: int = 80, season: int | None = None, methods: tuple[str, ...] | None = None) -> DataFrame:
     """(series_id, method, h, point, lower, upper)."""
-    simple = simple_fits(points, season)
+    simple = simple_fits(points, season, methods)
     parts = [simple.select("series_id", "method", "sigma", "a", "b", "ring", F.lit(1.0).alias("phi"))]
     for name, damped in (("holt", False), ("holt_damped", True)):
         if methods is None or name in methods:
@@ -95,8 +116,6 @@ def forecast(points: DataFrame, horizon: int, interval: int = 80, season: int |
     fits = parts[0]
     for p in parts[1:]:
         fits = fits.unionByName(p)
-    if methods is not None:
-        fits = fits.filter(F.col("method").isin(*methods))
     steps = fits.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     ring = F.get("ring", (F.col("h") - 1) % F.size("ring"))
     point = F.when(F.size("ring") > 0, ring).otherwise(F.col("a") + F.col("b") * _damped_sum(F.col("phi"), F.col("h")))

@@ -25,16 +25,41 @@ def joint_bands(paths: DataFrame, horizon: int, confidence: float = 0.95) -> Dat
     return out.select("h", "low", "high", "mean", (F.col("mean") - z * F.col("sd")).alias("bonferroni_low"), (F.col("mean") + z * F.col("sd")).alias("bonferroni_high"))
 
 
+def kth_smallest(values: DataFrame, rank: int, few: int = 10_000) -> float:
+    """The value of ``rank`` (from 0) among the non-null ones of ``value``, exactly.
+
+    A sketch brackets the rank and one pass counts what lies below and inside; brackets narrow until at most ``few`` rows
+    remain or the ends are equal. Where ties keep a bracket from narrowing, its lowest value is taken off. No sort of all
+    rows, and two numbers a pass reach the driver."""
+    v, inside, below, slack, accuracy = F.col("value"), values.filter("value is not null"), 0, 2.0, 10_000
+    while True:
+        size = inside.count()
+        if size <= few:
+            return inside.agg(F.element_at(F.sort_array(F.collect_list(v)), F.lit(rank - below + 1)).alias("v")).head()[0]
+        at = (rank - below) / size
+        shares = [min(1.0, max(0.0, at + side * slack / accuracy)) for side in (-1, 1)]
+        low, high = inside.agg(F.percentile_approx(v, F.array(*map(F.lit, shares)), F.lit(accuracy)).alias("q")).head()[0]
+        less, between = inside.agg(F.count_if(v < low), F.count_if(v.between(low, high))).head()
+        if not less <= rank - below < less + between:
+            slack *= 2
+            continue
+        if low == high:
+            return low
+        if between < size:
+            inside, below = inside.filter(v.between(low, high)), below + less
+            continue
+        same = inside.filter(v == low).count()
+        if rank - below < same:
+            return low
+        inside, below = inside.filter(v > low), below + same
+
+
 def risk(values: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """One row: value at risk (rank floor(n·(1 - c))), mean at or below it, share below zero. Ranks come from counts, no sort in one task."""
-    n = values.count()
-    rank = int(n * (1 - confidence))
-    per = values.groupBy(F.floor(F.col("value") * 1000).alias("bucket")).agg(F.count("*").alias("n"))
-    edge = per.withColumn("before", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    cut = edge.filter((F.coalesce("before", F.lit(0)) <= rank) & (F.coalesce("before", F.lit(0)) + F.col("n") > rank)).select("bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = values.join(F.broadcast(cut), F.floor(F.col("value") * 1000) == F.col("bucket"))
-    var = inside.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("value")) - 1 + F.col("before")).filter(F.col("k") == rank).select(F.col("value").alias("var"))
-    return values.crossJoin(F.broadcast(var)).agg(F.first("var").alias("var"), F.avg(F.when(F.col("value") <= F.col("var"), F.col("value"))).alias("cvar"), F.avg((F.col("value") < 0).cast("double")).alias("p_negative"))
+    """One row: value at risk (rank floor(n·(1 - c))), mean at or below it, share below zero. Nulls don't count; of no values all are null."""
+    v = F.col("value")
+    n = values.filter("value is not null").count()
+    var = F.lit(kth_smallest(values, int(n * (1 - confidence))) if n else None).cast("double")
+    return values.agg(F.max(var).alias("var"), F.avg(F.when(v <= var, v)).alias("cvar"), F.avg((v < 0).cast("double")).alias("p_negative"))
 
 
 def scenario_tree(base: DataFrame, scenarios: list[tuple[str, float, str, float]]) -> DataFrame:
@@ -82,9 +107,11 @@ def capacity_limited(demand: DataFrame, capacity: float) -> DataFrame:
     return demand.groupBy("series_id").agg(F.sum(F.least(v, F.lit(capacity))).alias("served"), F.sum(F.greatest(v - capacity, F.lit(0.0))).alias("lost"), F.avg(F.least(v / capacity, F.lit(1.0))).alias("utilisation"))
 
 
-def cross_elasticity(prices: DataFrame) -> DataFrame:
-    """(elasticity, relation) from rows (t, price_b, quantity_a): slope of changes of quantity over changes of price."""
-    w = Window.partitionBy(F.lit(0)).orderBy("t")
+def cross_elasticity(prices: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., elasticity, relation) from rows (by..., t, price_b, quantity_a): slope of changes of quantity over changes of price.
+
+    Each pair of products named by ``by`` is a series of its own; without ``by`` there is one."""
+    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy("t")
     change = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.lag(c).over(w))
-    e = prices.select(change("price_b").alias("p"), change("quantity_a").alias("q")).dropna().agg(F.regr_slope("q", "p").alias("elasticity"))
+    e = prices.select(*by, change("price_b").alias("p"), change("quantity_a").alias("q")).dropna(subset=["p", "q"]).groupBy(*by).agg(F.regr_slope("q", "p").alias("elasticity"))
     return e.withColumn("relation", F.when(F.col("elasticity") > 0.1, "substitute").when(F.col("elasticity") < -0.1, "complementary").otherwise("independent"))
