@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import INTERVAL_Z, box_cox, inverse_box_cox
@@ -125,8 +125,6 @@ def forecast(points: DataFrame, horizon: int, interval: int = 80, season: int |
 
 def theta(points: DataFrame, horizon: int) -> DataFrame:
     """Two theta lines around the last value: last + slope·h/4; sigma from one-step forecasts of all prefixes."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series_id").orderBy("idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     slope = F.regr_slope("value", F.col("idx").cast("double"))
@@ -139,15 +137,27 @@ def theta(points: DataFrame, horizon: int) -> DataFrame:
 
 
 def croston(points: DataFrame) -> DataFrame:
-    """(series_id, demand, tsb): smoothed size of the positive values, and size times chance of the TSB variant."""
-    s = arrays(points)
-    size = F.aggregate("y", F.element_at("y", 1), lambda q, d: F.when(d > 0, 0.5 * d + 0.5 * q).otherwise(q))
-    state = F.struct(F.element_at("y", 1).alias("q"), F.lit(0.5).alias("p"))
-
-    def step(x: Column, d: Column) -> Column:
-        return F.struct(F.when(d > 0, 0.2 * d + 0.8 * x["q"]).otherwise(x["q"]).alias("q"), (0.2 * F.when(d > 0, 1.0).otherwise(0.0) + 0.8 * x["p"]).alias("p"))
-
-    return s.select("series_id", size.alias("demand"), F.aggregate("y", state, step, lambda x: x["p"] * x["q"]).alias("tsb"))
+    """(series_id, demand, tsb): smoothed size of the positive values, and size times chance of the TSB variant.
+
+    A smoothed value is a sum in which a demand's weight falls with the demands (or steps) after it, so that partial sums
+    do, and no series is gathered. Null values count as no demand."""
+    w = Window.partitionBy("series_id")
+    positive = F.col("value") > 0
+    later = F.coalesce(F.sum(positive.cast("int")).over(w.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = points.withColumn("later", later).withColumn("n", F.count("*").over(w))
+    kept = lambda rate, of: F.sum(F.when(positive, rate * F.pow(F.lit(1 - rate), of) * F.col("value")))
+    out = p.groupBy("series_id").agg(
+        F.min_by("value", "idx").alias("first"),
+        F.count_if(positive).alias("m"),
+        F.max("n").alias("n"),
+        kept(0.5, F.col("later")).alias("size"),
+        kept(0.2, F.col("later")).alias("slow"),
+        F.sum(F.when(positive, 0.2 * F.pow(F.lit(0.8), F.col("n") - 1 - F.col("idx")))).alias("share"),
+    )
+    start = lambda rate: F.coalesce("first", F.lit(0.0)) * F.pow(F.lit(1 - rate), "m")
+    size, slow = start(0.5) + F.coalesce("size", F.lit(0.0)), start(0.2) + F.coalesce("slow", F.lit(0.0))
+    chance = 0.5 * F.pow(F.lit(0.8), "n") + F.coalesce("share", F.lit(0.0))
+    return out.select("series_id", size.alias("demand"), (chance * slow).alias("tsb"))
 
 
 def box_cox_lambda(points: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, models, prepare, quality
-from tidemark.plans import further, latest, more, wider
+from tidemark.operators import evaluate, guidance, models, prepare, quality
+from tidemark.plans import further, guide, latest, more, wider
 from tidemark.functions.stats import norm_cdf_sql
 from tidemark.sources import tables
 
@@ -202,27 +202,25 @@ def theta(spark, d):
 
 
 def _demand(spark, d):
-    """Daily quantity of the ten parts of smallest key, days without shipment as 0."""
-    line = tables.table(spark, d, "lineitem").filter("l_partkey <= 10")
+    """Daily quantity of each part, days without shipment as 0."""
+    line = tables.table(spark, d, "lineitem")
     per = line.groupBy(F.col("l_partkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("q"))
     days = per.groupBy("series_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("series_id", F.explode(F.sequence("a", "b")).alias("t"))
     return tables.indexed(days.join(per, ["series_id", "t"], "left").select("series_id", "t", F.coalesce("q", F.lit(0.0)).alias("value")))
 
 
 _DEMAND = """
-per AS (SELECT CAST(l_partkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS t, sum(l_quantity) AS q FROM lineitem WHERE l_partkey <= 10 GROUP BY 1, 2),
+per AS (SELECT CAST(l_partkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS t, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 days AS (SELECT series_id, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM per GROUP BY 1),
 p AS (SELECT series_id, t, coalesce(q, 0.0) AS value, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM days LEFT JOIN per USING (series_id, t))"""
 
 
 @query(
     "croston",
-    f"""WITH RECURSIVE {_DEMAND}, r AS (
-  SELECT series_id, -1::BIGINT AS idx, n, value AS q, value AS tq, 0.5::DOUBLE AS tp FROM p WHERE idx = 0
-  UNION ALL
-  SELECT r.series_id, p.idx, p.n, CASE WHEN value > 0 THEN 0.5 * value + 0.5 * q ELSE q END, CASE WHEN value > 0 THEN 0.2 * value + 0.8 * tq ELSE tq END, 0.2 * CASE WHEN value > 0 THEN 1 ELSE 0 END + 0.8 * tp
-  FROM r JOIN p ON p.series_id = r.series_id AND p.idx = r.idx + 1)
-SELECT series_id, round(q, 4) AS demand, round(tq * tp, 4) AS tsb FROM r WHERE idx = n - 1""",
+    f"""WITH {_DEMAND}, l AS (SELECT *, count(*) FILTER (value > 0) OVER (PARTITION BY series_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM p),
+g AS (SELECT series_id, arg_min(value, idx) AS first, count(*) FILTER (value > 0) AS m, any_value(n) AS n, coalesce(sum(0.5 * pow(0.5, later) * value) FILTER (value > 0), 0) AS q, coalesce(sum(0.2::DOUBLE * pow(0.8, later) * value) FILTER (value > 0), 0) AS tq,
+coalesce(sum(0.2::DOUBLE * pow(0.8, n - 1 - idx)) FILTER (value > 0), 0) AS tp FROM l GROUP BY 1)
+SELECT series_id, round(first * pow(0.5, m) + q, 4) AS demand, round((first * pow(0.8, m) + tq) * (0.5 * pow(0.8, n) + tp), 4) AS tsb FROM g""",
 )
 def croston(spark, d):
     return rounded(models.croston(_demand(spark, d)))
@@ -427,6 +425,25 @@ def business_metrics(spark, d):
     return rounded(evaluate.business_metrics(pairs, top=1.05))
 
 
+_AHEAD = "SELECT series_id, method, h, point, s FROM fc WHERE method <> 'snaive' UNION ALL SELECT series_id, 'holt', h, level + h * trend, sqrt(sse / greatest(n - 3, 1)) FROM best, range(1, 8) r(h)"
+_FIVE = f"""five AS (WITH RECURSIVE {DAILY}, {_SIMPLE}, {_HOLT} {_AHEAD}), early AS (WITH RECURSIVE {_TRAIN}, {_SIMPLE}, {_HOLT} {_AHEAD}), {DAILY},
+x AS (SELECT series_id, method, sqrt(avg(pow(value - point, 2))) AS rmse FROM early JOIN (SELECT series_id, idx - (n - 7) + 1 AS h, value FROM p WHERE idx >= n - 7) USING (series_id, h) GROUP BY 1, 2),
+b AS (SELECT five.*, CAST(five.h AS INT) AS step, rmse, point - 1.2816 * s * sqrt(five.h) AS lower, point + 1.2816 * s * sqrt(five.h) AS upper FROM five JOIN x USING (series_id, method))"""
+ORACLES["ensemble_forecast"] = f"""WITH {_FIVE}, w AS (SELECT *, 1 / greatest(rmse, 1e-9) AS w FROM b)
+SELECT series_id, step AS h, round(sum(point * w) / sum(w), 4) AS point, round(sum(lower * w) / sum(w), 4) AS lower, round(sum(upper * w) / sum(w), 4) AS upper FROM w GROUP BY 1, 2"""
+
+
+@query("fold_summary", f"SELECT series_id, method, count(*) AS folds, round(avg(rmse), 3) AS mean, round(stddev_pop(rmse), 3) AS sd FROM ({ORACLES['rolling_origin']}) GROUP BY 1, 2")
+def fold_summary(spark, d):
+    return rounded(guidance.fold_summary(rounded(_rolling(spark, d))), 3)
+
+
+for _name, _method, _sides in (("impute_neighbors", "neighbor_avg", "3 PRECEDING AND 3 FOLLOWING"), ("impute_last", "last", "10 PRECEDING AND 1 PRECEDING")):
+    query(_name, f"WITH {_HOLES} SELECT series_id, idx, round(coalesce(value, avg(value) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN {_sides})), 4) AS value FROM p")(
+        lambda spark, d, method=_method: rounded(quality.impute(_holes(spark, d), method).select("series_id", F.col("idx").cast("bigint").alias("idx"), "value"))
+    )
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event type the best of five methods by hold-out error, fitted to all days, with its week ahead."""
     points = tables.daily_events(spark, sf_dir)
@@ -435,14 +452,18 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.forecast(points, 7, methods=methods).join(best, ["series_id", "method"]))
 
 
-@query("best_forecast")
+@query(
+    "best_forecast",
+    f"""WITH {_FIVE}, top AS (SELECT series_id, method FROM x QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(rmse, 6), list_position(['naive', 'mean', 'drift', 'linear', 'holt'], method)) = 1)
+SELECT series_id, method, step AS h, round(point, 4) AS point, round(lower, 4) AS lower, round(upper, 4) AS upper, round(rmse, 4) AS rmse FROM b JOIN top USING (series_id, method)""",
+)
 def best_forecast(spark, d):
     return entry(spark, d)
 
 
 def queries() -> dict:
-    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES
+    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES | guide.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES
+    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES | guide.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import plugins
@@ -93,7 +93,13 @@ def factors(spark, d):
     return rounded(multi.factors(tables.daily_events(spark, d), EVENT_TYPES, 2))
 
 
-@query("reconciled_forecast")
+@query(
+    "reconciled_forecast",
+    f"""WITH {DAILY}, u AS (SELECT series_id, idx, value FROM p UNION ALL SELECT 'total', row_number() OVER (ORDER BY t) - 1, sum(value) FROM ev GROUP BY t),
+f AS (SELECT series_id, h, regr_intercept(value, idx) + regr_slope(value, idx) * (count(*) - 1 + h) AS point FROM u, range(1, 8) r(h) GROUP BY 1, 2),
+d AS (SELECT h, (sum(point) FILTER (series_id = 'total') - sum(point) FILTER (series_id <> 'total')) / count(*) AS gap FROM f GROUP BY 1)
+SELECT series_id AS node, CAST(h AS INT) AS h, round(point, 4) AS point, round(CASE WHEN series_id = 'total' THEN point - gap ELSE point + gap END, 4) AS reconciled FROM f JOIN d USING (h)""",
+)
 def reconciled_forecast(spark, d):
     points = tables.daily_events(spark, d)
     total = tables.indexed(points.groupBy("t").agg(F.sum("value").alias("value")).withColumn("series_id", F.lit("total")))
@@ -303,15 +309,16 @@ def ensemble_forecast(spark, d):
 
 @query(
     "method_changes",
-    f"""WITH {DAILY}, a AS (SELECT series_id, avg(value) AS mae FROM p WHERE idx < 20 AND series_id <> 'view' GROUP BY 1), b AS (SELECT series_id, avg(value) AS mae FROM p WHERE idx >= 10 AND series_id <> 'click' GROUP BY 1)
-SELECT coalesce(a.series_id, b.series_id) AS key, CASE WHEN a.series_id IS NULL THEN 'added' WHEN b.series_id IS NULL THEN 'removed' WHEN abs(a.mae - b.mae) > 1e-10 THEN 'changed' ELSE 'same' END AS change, round(b.mae - a.mae, 4) AS delta
-FROM a FULL JOIN b ON a.series_id = b.series_id""",
+    f"""WITH {DAILY}, k AS (SELECT *, series_id || '/' || (idx // 7) AS key FROM p),
+a AS (SELECT key, round(avg(value), 4) AS mae FROM k WHERE idx < n - 10 GROUP BY 1), b AS (SELECT key, round(avg(value), 4) AS mae FROM k WHERE idx >= 10 GROUP BY 1)
+SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' WHEN abs(a.mae - b.mae) > 1e-10 THEN 'changed' ELSE 'same' END AS change, round(b.mae - a.mae, 4) AS delta
+FROM a FULL JOIN b ON a.key = b.key""",
 )
 def method_changes(spark, d):
-    p = tables.daily_events(spark, d)
-    old = p.filter("idx < 20 and series_id <> 'view'").groupBy("series_id").agg(F.avg("value").alias("mae"))
-    new = p.filter("idx >= 10 and series_id <> 'click'").groupBy("series_id").agg(F.avg("value").alias("mae"))
-    return rounded(features.changes(old, new, "series_id", "mae"))
+    """Two reports by series and week: one made ten days ago, one that leaves the first ten days out; together they hold all days."""
+    p = tables.daily_events(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("series_id"))).withColumn("key", F.concat_ws("/", "series_id", F.floor(F.col("idx") / 7).cast("string")))
+    report = lambda rows: rows.groupBy("key").agg(F.round(F.avg("value"), 4).alias("mae"))
+    return rounded(features.changes(report(p.filter("idx < n - 10")), report(p.filter("idx >= 10")), "key", "mae"))
 
 
 @query(
