@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, exact_dedup, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, toxicity, warc
+from tidemark.llm import conversation_repair, decontaminate, exact_dedup, importance, license_scan, mixing, ngram_join, quality, secret_scan, suffix_dedup, toxicity, url_rules, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_importance": importance.op11_importance,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_url_filters": url_rules.op13_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE, "op1_secret_scan": secret_scan.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE, "op1_secret_scan": secret_scan.ORACLE, "op11_importance": importance.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_url_filters": url_rules.ORACLE}
