@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import decay_kernel
+from tidemark.operators import causal_graph
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -63,37 +62,8 @@ def diff_in_diff(points: DataFrame, treated: str, event: int, pre: int, post: in
 
 
 def granger_edges(points: DataFrame, max_lag: int = 3, ar_lag: int = 2) -> DataFrame:
-    """(a, b, lag, r, effect, f, df1, df2): for each ordered pair the strongest lag, and the F statistic of a's lags beyond b's own past.
-
-    A task holds one pair of series; pairs are spread over tasks."""
-
-    def rss(x: np.ndarray, y: np.ndarray) -> float:
-        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-        return float(((y - x @ beta) ** 2).sum())
-
-    def test(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
-        x, y, n = g["x"].to_numpy(float), g["y"].to_numpy(float), len(g)
-        t = np.arange(n)
-        x, y = (v - np.polyval(np.polyfit(t, v, 1), t) for v in (x, y))
-        start = max(max_lag, ar_lag)
-        if n - start < max_lag + ar_lag + 4:
-            return pd.DataFrame(columns=["a", "b", "lag", "r", "effect", "f", "df1", "df2"])
-        target = y[start:]
-        lags = [x[start - k : n - k] for k in range(max_lag + 1)]
-        own = [y[start - k : n - k] for k in range(1, ar_lag + 1)]
-        r = np.array([np.corrcoef(v, target)[0, 1] for v in lags])
-        k = int(np.argmax(np.abs(r)))
-        small, large = np.column_stack([np.ones(len(target)), *own]), np.column_stack([np.ones(len(target)), *own, *lags])
-        df2 = len(target) - large.shape[1]
-        full = rss(large, target)
-        f = (rss(small, target) - full) / (max_lag + 1) / (full / df2) if full > 0 else np.nan
-        return pd.DataFrame([(g["a"].iloc[0], g["b"].iloc[0], k, r[k], r[k] * y.std(ddof=1) / x.std(ddof=1), f, max_lag + 1, df2)], columns=["a", "b", "lag", "r", "effect", "f", "df1", "df2"])
-
-    a = points.select(F.col("series_id").alias("a"), "idx", F.col("value").alias("x"))
-    b = points.select(F.col("series_id").alias("b"), "idx", F.col("value").alias("y"))
-    pairs = a.join(b, "idx").filter("a <> b")
-    return pairs.groupBy("a", "b").applyInPandas(test, "a string, b string, lag int, r double, effect double, f double, df1 int, df2 int")
+    """(a, b, lag, r, effect, f, df1, df2): for each ordered pair the strongest lag, and the F statistic of a's lags beyond b's own past; see ``causal_graph.edges``."""
+    return causal_graph.edges(points, max_lag, ar_lag).select("a", "b", "lag", "r", "effect", "f", "df1", "df2")
 
 
 def pulse_response(coefficients: list[float], change: float, start: int, duration: int, horizon: int, spark) -> DataFrame:

@@ -169,12 +169,6 @@ def diff_in_diff(spark, d):
     return rounded(causal.diff_in_diff(tables.daily_events(spark, d), "click", 15, 10, 10))
 
 
-@query("granger_edges")
-def granger_edges(spark, d):
-    edges = causal.granger_edges(tables.daily_events(spark, d))
-    return rounded(edges.withColumn("p", f_p_value(F.col("f"), F.col("df1"), F.col("df2"))))
-
-
 @query(
     "pulse_response",
     """SELECT CAST(h AS INT) AS h, round(CAST(sum(CASE WHEN h - lag BETWEEN 2 AND 6 THEN 3.0 * c ELSE 0 END) AS DOUBLE), 6) AS delta, count(*) FILTER (h - lag BETWEEN 2 AND 6) AS active
