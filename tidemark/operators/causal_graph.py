@@ -70,6 +70,8 @@ def lagged_sums(rows: DataFrame, n: int, most: int) -> DataFrame:
         back = lambda m, lag, t: m[:, most - lag + t.start : most - lag + t.stop]
         low = first[:, None] <= second[None, :]
         r, k = np.nonzero(low if i == j else np.ones_like(low))
+        if not len(r):
+            return pd.DataFrame({x: pd.Series(dtype=object) for x in ("a", "b", "c", "ab", "ba", "s", "q")})
         turned = ~low[r, k]
         of = lambda x, lx, y, ly, t: (back(x, lx, t) @ back(y, ly, t).T)[r, k]
         c = np.array([[of(p, x, q, y, all_t) for y in range(lags)] for x in range(lags)])
