@@ -47,7 +47,8 @@ def nth_weekday(year: int, month: int, weekday: int, which: int) -> date:
     return date(year, month, days[which if which < 0 else which - 1])
 
 
-def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
+def calendar_rows(first: int, last: int) -> list[tuple[str, date, int, str]]:
+    """(name, start, duration, decay) of every holiday of the years."""
     if last < first:
         raise ValueError("the last year is before the first")
     rows = []
@@ -55,4 +56,8 @@ def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
         rows += [(f"{name}-{year}", date(year, *day), n, kind) for name, day, n, kind in FIXED]
         rows += [(f"{name}-{year}", nth_weekday(year, month, weekday, which) + timedelta(days=after), n, kind) for name, month, weekday, which, after, n, kind in FLOATING]
         rows.append((f"easter-monday-{year}", easter(year) + timedelta(days=1), 2, "gaussian"))
-    return spark.createDataFrame(rows, "name string, start date, duration int, decay string")
+    return rows
+
+
+def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
+    return spark.createDataFrame(calendar_rows(first, last), "name string, start date, duration int, decay string")

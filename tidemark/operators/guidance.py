@@ -22,10 +22,10 @@ def _middle(rows: DataFrame, column: str) -> DataFrame:
 
 
 def traits(points: DataFrame) -> DataFrame:
-    """(series_id, n, trend, acf1, zeros, cv, outliers) of the known values; series of under three give none.
+    """(series_id, n, trend, acf1, zeros, cv, outliers) of the known values; series of under five give none.
 
     ``trend`` is the slope in deviations a step, ``outliers`` counts values whose distance from the median exceeds 3.5
-    when measured by the median distance."""
+    when measured by the median distance. ``acf1`` divides the products of neighbours by n - 1 and the population variance."""
     p = points.filter("value is not null").select("series_id", "idx", "value")
     v = F.col("value")
     p = p.join(_middle(p, "value"), "series_id").withColumn("off", F.abs(v - F.col("middle"))).drop("middle")
@@ -34,12 +34,12 @@ def traits(points: DataFrame) -> DataFrame:
     out = p.groupBy("series_id").agg(
         F.count("*").alias("n"),
         F.coalesce(F.try_divide(F.abs(F.regr_slope(v, F.col("idx").cast("double"))), F.stddev_pop(v)), F.lit(0.0)).alias("trend"),
-        F.coalesce(F.try_divide(F.sum(F.col("d") * F.col("b")), F.sum(F.col("d") * F.col("d"))), F.lit(0.0)).alias("acf1"),
+        F.coalesce(F.try_divide(F.sum(F.col("d") * F.col("b")), (F.count("*") - 1) * F.var_pop(v)), F.lit(0.0)).alias("acf1"),
         F.avg((F.abs(v) < 1e-10).cast("double")).alias("zeros"),
         (F.stddev_pop(v) / F.when(F.avg(v) == 0, 1.0).otherwise(F.abs(F.avg(v)))).alias("cv"),
         F.sum("far").alias("outliers"),
     )
-    return out.filter("n >= 3")
+    return out.filter("n >= 5")
 
 
 def recommendation(known: DataFrame) -> DataFrame:
@@ -113,14 +113,15 @@ def seasonal_methods(seasons: DataFrame) -> DataFrame:
     return top.select("series_id", F.array_join(F.concat(F.array(F.lit("naive"), F.lit("theta")), F.when(F.col("k") >= 2, more).otherwise(one)), ",").alias("methods"))
 
 
-def refresh_decisions(points: DataFrame, every: int = 5, recent: int = 10, threshold: float = 1.0, least: int = 10) -> DataFrame:
+def refresh_decisions(points: DataFrame, every: int = 1, recent: int = 30, threshold: float = 3.0, least: int = 10) -> DataFrame:
     """(series_id, idx, refresh, reason) as each point arrives: insufficient-data, no-fit, drift, new-points or below-threshold.
 
     The first fit is made at ``least`` points, the next ones after ``every`` new points each; drift is the distance of the
-    last ``recent`` values' mean from that of all so far, in deviations."""
+    last ``recent`` values' mean from that of all so far, in deviations, and is judged from 20 points on of which 10 are recent."""
     w = _series("idx")
     so_far, late = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1 - recent, 0)
     z = F.try_divide(F.abs(F.avg("value").over(late) - F.avg("value").over(so_far)), F.stddev_samp("value").over(so_far))
+    z = F.when((F.count("value").over(so_far) >= 20) & (F.count("value").over(late) >= 10), z)
     since = F.col("idx") - (least - 1)
     reason = F.when(since < 0, "insufficient-data").when(since == 0, "no-fit").when(since % every != 0, "below-threshold").when(F.round(z, 9) > threshold, "drift").otherwise("new-points")
     return points.select("series_id", "idx", reason.alias("reason")).select("series_id", "idx", F.col("reason").isin("no-fit", "drift", "new-points").alias("refresh"), "reason")
@@ -136,7 +137,7 @@ def anomaly_alerts(points: DataFrame, times: float = 3.0, least: int = 5) -> Dat
 
 def fold_summary(folds: DataFrame) -> DataFrame:
     """(series_id, method, folds, mean, sd) of the root mean squared error over the folds of ``rolling_origin``."""
-    return folds.groupBy("series_id", "method").agg(F.count("rmse").alias("folds"), F.avg("rmse").alias("mean"), F.stddev_pop("rmse").alias("sd"))
+    return folds.groupBy("series_id", "method").agg(F.count("rmse").alias("folds"), F.avg("rmse").alias("mean"), F.stddev_samp("rmse").alias("sd"))
 
 
 def future_steps(points: DataFrame, horizon: int) -> DataFrame:

@@ -17,6 +17,13 @@ def simulate_paths(spark: SparkSession, last: float, trend: float, sd: float, ho
     return step.select("sim", "h", (last + F.sum("step").over(Window.partitionBy("sim").orderBy("h"))).alias("value"))
 
 
+def walk_of(points: DataFrame) -> tuple[float, float, float]:
+    """(last value, mean step, deviation of the steps) of one series, from which its walks go on."""
+    by_idx = Window.partitionBy("series_id").orderBy("idx")
+    steps = points.withColumn("step", F.col("value") - F.lag("value").over(by_idx))
+    return tuple(steps.agg(F.max_by("value", "idx"), F.avg("step"), F.stddev_samp("step")).head())
+
+
 def joint_bands(paths: DataFrame, horizon: int, confidence: float = 0.95) -> DataFrame:
     """(h, low, high, mean, bonferroni_low, bonferroni_high)."""
     z = norm_quantile(1 - (1 - confidence) / (2 * horizon))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import causal_graph, hierarchy
-from tidemark.plans.more import DAILY, rounded
+from tidemark.functions import holidays
+from tidemark.operators import causal_graph, factor_models, hierarchy
+from tidemark.plans.more import DAILY, ORDERS, rounded
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +151,66 @@ def causal_graph_edges(spark, d):
     points = tables.indexed(tables.table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("t")).agg(F.sum("value").alias("value")))
     found = causal_graph.discoveries(causal_graph.edges(points, 5, 4), 0.2, include_all=True)
     return rounded(found.select("a", "b", "lag", "r", "effect", "f", "p", F.round("stability", 2).alias("stability"), "confidence", "significant", "direction", "feedback"))
+
+
+_NAMED = [(n.rsplit("-", 1)[0], f"{start:%Y-%m-%d}", days, decay) for n, start, days, decay in holidays.calendar_rows(1992, 1998)]
+_CALENDAR = "hol AS (SELECT name, start::DATE AS start, dur, decay FROM (VALUES " + ", ".join(map(str, _NAMED)) + ") v(name, start, dur, decay))"
+
+
+def _holidays(spark):
+    """The calendar, holidays of all years under one name."""
+    return holidays.holidays(spark, 1992, 1998).withColumn("name", F.expr("left(name, length(name) - 5)"))
+
+
+@query("holidays", f"WITH {_CALENDAR} SELECT name, CAST(start AS VARCHAR) AS start, count(o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS revenue FROM hol LEFT JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN start AND start + dur - 1 GROUP BY 1, 2")
+def holiday_revenue(spark, d):
+    """Orders and revenue of each holiday of seven years."""
+    days = _holidays(spark).withColumn("day", F.explode(F.sequence("start", F.date_add("start", F.col("duration") - 1))))
+    orders = tables.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
+    out = days.join(orders, "day", "left").groupBy("name", F.col("start").cast("string").alias("start")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("revenue"))
+    return rounded(out, 2)
+
+
+def factor_sql(last: str) -> str:
+    """Daily revenue, in thousands, on a line, two harmonics of the year and the holidays, by elimination column by column."""
+    names = sorted({n for n, *_ in _NAMED})
+    at, half = "(idx - s)", "dur / 2.0"
+    kernel = f"""CASE decay WHEN 'box' THEN 1.0 WHEN 'exponential' THEN exp(-{at} / greatest(dur / 3.0, 0.5)) WHEN 'triangular' THEN CASE WHEN {at} < {half} THEN {at} / greatest({half}, 0.5) ELSE (dur - {at}) / greatest({at} - {half}, 0.5) END
+WHEN 'gaussian' THEN exp(-0.5 * pow(({at} - {half}) / greatest(dur / 4.0, 0.5), 2)) END"""
+    waves = [f"{f}(2 * pi() * {k} / 365.25 * idx)" for k in (1, 2) for f in ("sin", "cos")]
+    columns = ["1.0::DOUBLE", "idx::DOUBLE", *waves, *(f"coalesce(max(w) FILTER (name = '{n}'), 0)" for n in names), "any_value(value)"]
+    labels = ["(intercept)", "(trend)", *(f"({f} {k})" for k in (1, 2) for f in ("sin", "cos")), *names]
+    m = len(columns)
+    gram = ", ".join(f"sum(c{i} * c{j})" for i in range(m) for j in range(m))
+    parts = [
+        ORDERS.replace("sum(o_totalprice)", "sum(o_totalprice) / 1000"),
+        _CALENDAR,
+        "pl AS (SELECT hol.*, (SELECT min(idx) FROM p WHERE p.t >= hol.start) AS s FROM hol, (SELECT min(t) AS lo, max(t) AS hi FROM p) WHERE start BETWEEN lo AND hi)",
+        f"ws AS (SELECT idx, name, sum({kernel}) AS w FROM pl JOIN p ON (decay = 'gaussian' OR idx >= s) AND (decay NOT IN ('box', 'triangular') OR idx < s + dur) GROUP BY 1, 2)",
+        f"x AS (SELECT {', '.join(f'{c} AS c{k}' for k, c in enumerate(columns))} FROM p LEFT JOIN ws USING (idx) GROUP BY idx)",
+        f"raw AS (SELECT count(*) AS n, [{gram}] AS g FROM x)",
+        f"g0 AS (SELECT n, g AS raw, list_transform(range({m * m}), lambda x: g[x + 1] / sqrt(g[(x // {m}) * {m + 1} + 1] * g[(x % {m}) * {m + 1} + 1])) AS g FROM raw)",
+    ]
+    parts += [f"g{k + 1} AS (SELECT n, raw, list_transform(range({m * m}), lambda x: CASE WHEN x // {m} = {k} THEN g[x + 1] / g[{k * m + k + 1}] ELSE g[x + 1] - g[(x // {m}) * {m} + {k + 1}] * g[{k * m} + x % {m} + 1] / g[{k * m + k + 1}] END) AS g FROM g{k})" for k in range(m - 1)]
+    rows = " UNION ALL ".join(f"SELECT '{label}' AS factor, g[{j * m + m}] * sqrt(raw[{m * m}] / raw[{j * m + j + 1}]) AS coefficient, sqrt((raw[{j * m + j + 1}] - raw[{j + 1}] * raw[{j + 1}] / n) / (n - 1)) AS sd, 1 - g[{m * m}] * raw[{m * m}] / (raw[{m * m}] - raw[{m}] * raw[{m}] / n) AS r2 FROM g{m - 1}" for j, label in enumerate(labels))
+    return f"WITH {', '.join(parts)}, f AS ({rows}) {last}"
+
+
+@query(
+    "factor_effects",
+    factor_sql("SELECT 'orders' AS series_id, factor, 'kept' AS status, round(coefficient, 3) AS coefficient, round(abs(coefficient) * sd, 3) AS impact, row_number() OVER (ORDER BY round(abs(coefficient) * sd, 9) DESC, factor) AS rank, round(r2, 4) AS r2 FROM f WHERE factor NOT LIKE '(%'"),
+)
+def factor_effects(spark, d):
+    """What each holiday does to daily revenue, in thousands, beside a line and two harmonics of the year; the strongest first."""
+    points = tables.daily_orders(spark, d).withColumn("value", F.col("value") / 1000)
+    fit = factor_models.factor_fit(factor_models.Design(points, _holidays(spark), season=365.25, harmonics=2))
+    out = factor_models.ranked_factors(fit)
+    return out.select("series_id", "factor", "status", F.round("coefficient", 3).alias("coefficient"), F.round("impact", 3).alias("impact"), F.col("rank").cast("bigint").alias("rank"), F.round("r2", 4).alias("r2"))
+
+
+@query("common_factors")
+def common_factors(spark, d):
+    """Three factors of the revenue of 125 series by month: their value at each step, and the share of variance."""
+    loadings, scores = factor_models.common_factors(tables.monthly_revenue(spark, d), 3)
+    shares = loadings.groupBy("factor").agg(F.first("share").alias("share"), F.max_by("series_id", "loading").alias("largest"))
+    return rounded(scores.join(shares, "factor"), 3)

@@ -21,8 +21,8 @@ mad AS (SELECT series_id, off AS mad FROM o QUALIFY row_number() OVER (PARTITION
 far AS (SELECT series_id, count(*) FILTER (0.6745::DOUBLE * off / CASE WHEN mad > 0 THEN mad ELSE 1e-10 END > 3.5) AS outliers FROM o JOIN mad USING (series_id) GROUP BY 1),
 c AS (SELECT *, value - avg(value) OVER (PARTITION BY series_id) AS d FROM p),
 b AS (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY idx) AS b FROM c),
-traits AS (SELECT series_id, count(*) AS n, abs(regr_slope(value, idx)) / stddev_pop(value) AS trend, sum(d * b) / sum(d * d) AS acf1, avg((abs(value) < 1e-10)::INT) AS zeros, stddev_pop(value) / abs(avg(value)) AS cv, any_value(outliers) AS outliers
-FROM b JOIN far USING (series_id) GROUP BY 1 HAVING count(*) >= 3)"""
+traits AS (SELECT series_id, count(*) AS n, abs(regr_slope(value, idx)) / stddev_pop(value) AS trend, sum(d * b) / ((count(*) - 1) * var_pop(value)) AS acf1, avg((abs(value) < 1e-10)::INT) AS zeros, stddev_pop(value) / abs(avg(value)) AS cv, any_value(outliers) AS outliers
+FROM b JOIN far USING (series_id) GROUP BY 1 HAVING count(*) >= 5)"""
 PEAKS = f"""{ORDERS}, q AS (SELECT value - avg(value) OVER () AS c, idx AS i, n FROM p),
 a AS (SELECT l.lag, any_value(a.n) AS n, sum(a.c * b.c) / (any_value(a.n) - l.lag) / any_value(v.v) AS acf FROM q a JOIN range(1, 61) l(lag) ON true JOIN q b ON a.i = b.i + l.lag, (SELECT avg(c * c) AS v FROM q) v GROUP BY 1),
 k AS (SELECT *, lag(acf) OVER (ORDER BY lag) AS before, lead(acf) OVER (ORDER BY lag) AS after FROM a),
@@ -92,11 +92,11 @@ def seasonal_methods(spark, d):
 @query(
     "refresh_reasons",
     f"""WITH {DAILY}, z AS (SELECT *, idx - 9 AS since, abs(avg(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - avg(value) OVER (w ROWS UNBOUNDED PRECEDING)) / nullif(stddev_samp(value) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS z FROM p WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
-r AS (SELECT *, CASE WHEN since < 0 THEN 'insufficient-data' WHEN since = 0 THEN 'no-fit' WHEN since % 5 <> 0 THEN 'below-threshold' WHEN round(z, 9) > 0.2 THEN 'drift' ELSE 'new-points' END AS reason FROM z)
+r AS (SELECT *, CASE WHEN since < 0 THEN 'insufficient-data' WHEN since = 0 THEN 'no-fit' WHEN since % 5 <> 0 THEN 'below-threshold' WHEN idx >= 19 AND round(z, 9) > 0.2 THEN 'drift' ELSE 'new-points' END AS reason FROM z)
 SELECT series_id, idx, reason IN ('no-fit', 'drift', 'new-points') AS refresh, reason FROM r""",
 )
 def refresh_reasons(spark, d):
-    return longs(guidance.refresh_decisions(daily(spark, d), threshold=0.2), "idx")
+    return longs(guidance.refresh_decisions(daily(spark, d), every=5, recent=10, threshold=0.2), "idx")
 
 
 @query(

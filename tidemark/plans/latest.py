@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import responses
+from tidemark.operators import responses, scenarios
 from tidemark.plans.more import DAILY, daily, longs, rounded
+from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,5 +75,9 @@ def markdown_report(spark, d):
 
 @query("path_percentiles")
 def path_percentiles(spark, d):
-    kinds = [responses.path_percentiles(responses.random_paths(spark, k, 100.0, v, 20, sims=4000)).withColumn("kind", F.lit(k)) for k, v in (("autoregressive", 2.0), ("geometric", 0.3), ("multiplicative", 0.02))]
+    """Paths of daily revenue from its last value; its relative and log steps give the volatilities."""
+    points = tables.daily_orders(spark, d)
+    last, _, sd = scenarios.walk_of(points)
+    rate = scenarios.walk_of(points.withColumn("value", F.ln("value")))[2]
+    kinds = [responses.path_percentiles(responses.random_paths(spark, k, last, v, 20, sims=4000)).withColumn("kind", F.lit(k)) for k, v in (("autoregressive", sd), ("geometric", rate * 252**0.5), ("multiplicative", rate))]
     return rounded(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))

@@ -330,9 +330,11 @@ def bottlenecks(spark, d):
     return rounded(out.groupBy("route").agg(F.count("*").alias("shipments"), *(F.avg(c).alias(c) for c in ("days", "adjusted", "delay"))))
 
 
-@query("scenario_weights", "SELECT name, round(p / sum(p) OVER (), 4) AS p FROM (VALUES ('promotion_lift', 0.3::DOUBLE), ('holiday_shift', 0.2::DOUBLE), ('price_elasticity', 0.2::DOUBLE), ('supply_disruption', 0.1::DOUBLE)) v(name, p)")
+@query("scenario_weights", "SELECT event_type AS name, round(count(*) / sum(count(*)) OVER (), 4) AS p FROM events GROUP BY 1")
 def scenario_weights(spark, d):
-    return rounded(report.scenario_weights(spark.createDataFrame([("promotion_lift", 0.3), ("holiday_shift", 0.2), ("price_elasticity", 0.2), ("supply_disruption", 0.1)], "name string, p double")))
+    """Scenarios named by event types, as probable as those are frequent."""
+    counts = tables.table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg((F.count("*") / 1000.0).alias("p"))
+    return rounded(report.scenario_weights(counts))
 
 
 @query("events_in_range", """SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT CAST(min(ts) AS DATE) + 5 FROM events) AND (SELECT CAST(min(ts) AS DATE) + 12 FROM events) GROUP BY 1""")

@@ -433,7 +433,7 @@ ORACLES["ensemble_forecast"] = f"""WITH {_FIVE}, w AS (SELECT *, 1 / greatest(rm
 SELECT series_id, step AS h, round(sum(point * w) / sum(w), 4) AS point, round(sum(lower * w) / sum(w), 4) AS lower, round(sum(upper * w) / sum(w), 4) AS upper FROM w GROUP BY 1, 2"""
 
 
-@query("fold_summary", f"SELECT series_id, method, count(*) AS folds, round(avg(rmse), 3) AS mean, round(stddev_pop(rmse), 3) AS sd FROM ({ORACLES['rolling_origin']}) GROUP BY 1, 2")
+@query("fold_summary", f"SELECT series_id, method, count(*) AS folds, round(avg(rmse), 3) AS mean, round(stddev_samp(rmse), 3) AS sd FROM ({ORACLES['rolling_origin']}) GROUP BY 1, 2")
 def fold_summary(spark, d):
     return rounded(guidance.fold_summary(rounded(_rolling(spark, d))), 3)
 

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import plugins
-from tidemark.functions import holidays
-from tidemark.functions.significance import f_p_value
 from tidemark.operators import causal, decompose, features, models, multi, quality, regress, scenarios
 from tidemark.sources import tables
 
@@ -130,9 +128,6 @@ def nearest_point(spark, d):
     return longs(causal.nearest(when, tables.daily_orders(spark, d)).select("name", "idx"), "idx")
 
 
-_EVENTS = [("launch", 3, 6), ("sale", 10, 4), ("outage", 24, 10)]
-
-
 def _kernel_sql(kind: str) -> str:
     at = "(i - s)"
     body = {
@@ -143,16 +138,20 @@ def _kernel_sql(kind: str) -> str:
         "step": f"1 - exp(-{at} / greatest(dur / 3.0, 0.5))",
     }[kind]
     where = {"box": "i >= s AND i < s + dur", "triangular": "i >= s AND i < s + dur", "gaussian": "true"}.get(kind, "i >= s")
-    values = ", ".join(map(str, _EVENTS))
-    return f"SELECT '{kind}' AS kind, name, CAST(i AS INT) AS idx, round({body}, 6) AS weight FROM (VALUES {values}) e(name, s, dur), range(0, 30) r(i) WHERE {where}"
+    return f"SELECT '{kind}' AS kind, name, CAST(i AS INT) AS idx, round({body}, 6) AS weight FROM e, range(0, 30) r(i) WHERE s < 30 AND {where}"
+
 
+_PEAKS = f"{DAILY}, e AS (SELECT series_id AS name, arg_max(idx, value) AS s, 3 + sum((value > m)::INT) % 6 AS dur FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS m FROM p) GROUP BY 1)"
 
-@query("event_weights", " UNION ALL ".join(_kernel_sql(k) for k in ("box", "exponential", "triangular", "gaussian", "step")))
+
+@query("event_weights", f"WITH {_PEAKS} " + " UNION ALL ".join(_kernel_sql(k) for k in ("box", "exponential", "triangular", "gaussian", "step")))
 def event_weights(spark, d):
-    events = spark.createDataFrame(_EVENTS, "name string, start int, duration int")
+    """Weights of an event at each event type's largest day, the longer the more days lie above the mean."""
+    points = tables.daily_events(spark, d).withColumn("m", F.avg("value").over(Window.partitionBy("series_id")))
+    peak = points.groupBy(F.col("series_id").alias("name")).agg(F.max_by("idx", "value").cast("int").alias("start"), (3 + F.count_if(F.col("value") > F.col("m")) % 6).cast("int").alias("duration"))
     out = None
     for kind in ("box", "exponential", "triangular", "gaussian", "step"):
-        part = causal.event_weights(events, 30, kind).select(F.lit(kind).alias("kind"), "name", "idx", "weight")
+        part = causal.event_weights(peak, 30, kind).select(F.lit(kind).alias("kind"), "name", "idx", "weight")
         out = part if out is None else out.unionByName(part)
     return rounded(out, 6)
 
@@ -171,21 +170,25 @@ def diff_in_diff(spark, d):
 
 @query(
     "pulse_response",
-    """SELECT CAST(h AS INT) AS h, round(CAST(sum(CASE WHEN h - lag BETWEEN 2 AND 6 THEN 3.0 * c ELSE 0 END) AS DOUBLE), 6) AS delta, count(*) FILTER (h - lag BETWEEN 2 AND 6) AS active
-FROM range(0, 12) s(h), (VALUES (0, 0.5), (1, 0.3), (2, 0.1)) l(lag, c) GROUP BY 1""",
+    """WITH c AS (SELECT avg(o_totalprice) / 1000 AS change FROM orders)
+SELECT CAST(h AS INT) AS h, round(CAST(sum(CASE WHEN h - lag BETWEEN 2 AND 6 THEN change * c ELSE 0 END) AS DOUBLE), 4) AS delta, count(*) FILTER (h - lag BETWEEN 2 AND 6) AS active
+FROM c, range(0, 12) s(h), (VALUES (0, 0.5), (1, 0.3), (2, 0.1)) l(lag, c) GROUP BY 1""",
 )
 def pulse_response(spark, d):
-    return rounded(causal.pulse_response([0.5, 0.3, 0.1], 3.0, 2, 5, 12, spark), 6)
+    """A pulse of the mean order, in thousands."""
+    change = tables.table(spark, d, "orders").agg(F.avg("o_totalprice") / 1000).head()[0]
+    return rounded(causal.pulse_response([0.5, 0.3, 0.1], change, 2, 5, 12, spark))
 
 
 @query("monte_carlo")
 def monte_carlo(spark, d):
-    return rounded(scenarios.joint_bands(scenarios.simulate_paths(spark, 100.0, 0.5, 4.0, 24), 24))
+    """Walks of daily revenue from its last value, by the mean and deviation of its steps."""
+    return rounded(scenarios.joint_bands(scenarios.simulate_paths(spark, *scenarios.walk_of(tables.daily_orders(spark, d)), 24), 24))
 
 
 @query("simulated_risk")
 def simulated_risk(spark, d):
-    total = scenarios.simulate_paths(spark, 100.0, 0.5, 4.0, 24).groupBy("sim").agg(F.sum("value").alias("value"))
+    total = scenarios.simulate_paths(spark, *scenarios.walk_of(tables.daily_orders(spark, d)), 24).groupBy("sim").agg(F.sum("value").alias("value"))
     return rounded(scenarios.risk(total))
 
 
@@ -377,11 +380,6 @@ def robust_line(spark, d):
     return rounded(regress.robust_line(tables.daily_events(spark, d)))
 
 
-@query("holidays")
-def holiday_events(spark, d):
-    return holidays.holidays(spark, 1992, 1998).withColumn("start", F.col("start").cast("string"))
-
-
 @query(
     "human_errors",
     """WITH q AS (SELECT CAST(l_partkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS t, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
