@@ -1,15 +1,17 @@
-"""Queries of table functions, of sources that go on where they stopped, and of operators with state, with their DuckDB SQL."""
+"""Queries of table functions, of sources that go on where they stopped, of operators with state, of densities and of compared tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import table_functions
+from tidemark.functions import densities
+from tidemark.operators import models, table_functions
 from tidemark.plans.more import DAILY, longs, rounded
-from tidemark.sources import cursors, tables
+from tidemark.sources import cursors, merkle, tables
+from tidemark.sources.snapshots import Snapshots
 from tidemark.streaming import alarms, forecaster, replays
 from tidemark.streaming.engine import _folder
 
@@ -137,3 +139,59 @@ def stream_alarms(spark, d):
     schedules = (alarms.Schedule("weekly", "weekly"), alarms.Schedule("monthly", "monthly", "validate"))
     out, _ = replays.replay_parts([*replays.by_time(daily, 3), clock], lambda s: alarms.alarm_stream(s, rules, schedules, 3 * alarms.DAY))
     return rounded(out.withColumn("t", F.date_format("t", "yyyy-MM-dd")))
+
+
+_STEPS = f"{DAILY}, r AS (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY idx) AS e FROM p)"
+
+
+@query(
+    "density_fits",
+    f"""WITH {_STEPS}, m AS (SELECT series_id, count(e) AS n, avg(e * e) AS m2, kurtosis_pop(e) AS k, avg(e * e) FILTER (e > 0) / avg(e * e) FILTER (e < 0) AS q FROM r GROUP BY 1),
+f AS (SELECT *, CASE WHEN k > 6 / 196.0 THEN 4 + 6 / k ELSE 200.0 END AS df, ln(q) / 4 AS s FROM m)
+SELECT series_id, n, round(sqrt(m2 * (df - 2) / df / ((exp(3 * s) + exp(-3 * s)) / (exp(s) + exp(-s)))), 4) AS sigma, round(df, 4) AS df, round(s, 4) AS skew FROM f""",
+)
+def density_fits(spark, d):
+    """A skewed t for each series' daily steps."""
+    return rounded(densities.fit_densities(_steps(spark, d)))
+
+
+def _steps(spark, d):
+    by_idx = Window.partitionBy("series_id").orderBy("idx")
+    return tables.daily_events(spark, d).withColumn("value", F.col("value") - F.lag("value").over(by_idx)).select("series_id", "value")
+
+
+@query("density_bands")
+def density_bands(spark, d):
+    """The last value of each series for a week, with the quantiles of the fitted density."""
+    last = tables.daily_events(spark, d).groupBy("series_id").agg(F.max_by("value", "idx").alias("point")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return rounded(densities.density_bands(last, densities.fit_densities(_steps(spark, d)), 0.9))
+
+
+@query(
+    "located_changes",
+    f"WITH {DAILY}, k AS (SELECT series_id, max(idx) FILTER (idx % 9 = 4) AS odd, min(idx) AS low, max(idx) AS high FROM p GROUP BY 1) SELECT series_id, odd AS idx, 'changed' AS change FROM k WHERE series_id = 'click' UNION ALL SELECT series_id, low, 'removed' FROM k WHERE series_id = 'error' UNION ALL SELECT series_id, high + 1, 'added' FROM k WHERE series_id = 'view'",
+)
+def located_changes(spark, d):
+    """Two versions of the daily totals: of click one value changed, of error the first is gone, of view one more day. Their trees lead to these rows."""
+    before = tables.daily_events(spark, d).select("series_id", F.col("idx").cast("bigint").alias("idx"), "value")
+    ends = before.groupBy("series_id").agg(F.max(F.when(F.col("idx") % 9 == 4, F.col("idx"))).alias("odd"), F.max("idx").alias("high"))
+    after = before.join(ends, "series_id").filter("series_id <> 'error' or idx > 0")
+    after = after.withColumn("value", F.when((F.col("series_id") == "click") & (F.col("idx") == F.col("odd")), F.col("value") + 1).otherwise(F.col("value")))
+    more = ends.filter("series_id = 'view'").select("series_id", (F.col("high") + 1).alias("idx"), F.lit(0.0).alias("value"))
+    base = _folder(spark, "versions")
+    for name, df in (("a", before), ("b", after.select(*before.columns).unionByName(more))):
+        merkle.write_hashed(df, f"{base}/{name}", ("series_id", "idx"), 2)
+    return merkle.located_changes(spark, f"{base}/a", f"{base}/b", "series_id string, idx bigint, value double", ("series_id", "idx"), 2).select("series_id", "idx", "change")
+
+
+@query("reproduced", f"WITH {DAILY} SELECT series_id, m.method, h, 'same' AS status FROM (SELECT DISTINCT series_id FROM p), range(1, 8) r(h), (VALUES ('naive'), ('mean'), ('drift'), ('linear')) m(method)")
+def reproduced(spark, d):
+    """A forecast's report, stored with the points it was made of; made again from the restored points, and compared."""
+    snaps = Snapshots(spark, _folder(spark, "reproduce"))
+    points = tables.daily_events(spark, d).select("series_id", "idx", "value")
+    version = snaps.create(points, "daily")
+    methods = ("naive", "mean", "drift", "linear")
+    report = _folder(spark, "report")
+    models.forecast(points, 7, methods=methods).write.parquet(report)
+    again = models.forecast(snaps.restore("daily", version), 7, methods=methods)
+    return longs(merkle.reproduced(spark.read.parquet(report), again, ("series_id", "method", "h"), ("point", "lower", "upper")).drop("difference"), "h")
