@@ -1,4 +1,4 @@
-"""Queries of hierarchies as tables, of causal graphs and of factors, with their DuckDB SQL."""
+"""Queries of hierarchies as tables, of causal graphs, of factors and of routed repairs, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import holidays
-from tidemark.operators import causal_graph, factor_models, hierarchy
+from tidemark.operators import causal_graph, factor_models, hierarchy, routing, tuning
 from tidemark.plans.more import DAILY, ORDERS, rounded
 from tidemark.sources import tables
+from tidemark.sources.snapshots import Snapshots
+from tidemark.streaming.engine import _folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +216,40 @@ def common_factors(spark, d):
     loadings, scores = factor_models.common_factors(tables.monthly_revenue(spark, d), 3)
     shares = loadings.groupBy("factor").agg(F.first("share").alias("share"), F.max_by("series_id", "loading").alias("largest"))
     return rounded(scores.join(shares, "factor"), 3)
+
+
+# holes: of view six days in a row, of purchase every eleventh, of click every fourth
+_HOLED = f"{DAILY}, h AS (SELECT series_id, idx, CASE WHEN series_id = 'view' AND idx BETWEEN 10 AND 15 OR series_id = 'purchase' AND idx % 11 = 3 OR series_id = 'click' AND idx % 4 = 1 THEN NULL ELSE value END AS value FROM p)"
+_GATES = routing.Gates(coverage=75.0, outliers=0.1)
+
+
+@query(
+    "routed_series",
+    f"""WITH {_HOLED}, r AS (SELECT *, CASE WHEN value IS NULL THEN idx - row_number() OVER (PARTITION BY series_id, value IS NULL ORDER BY idx) END AS run FROM h),
+l AS (SELECT series_id, run, count(*) AS len FROM r WHERE value IS NULL GROUP BY 1, 2), z AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY series_id)) / stddev_pop(value) OVER (PARTITION BY series_id) AS z FROM h),
+c AS (SELECT series_id, count(*) AS n, count(*) - count(value) AS missing, count(*) FILTER (z > 2.5) AS outliers FROM z GROUP BY 1), g AS (SELECT series_id, count(*) FILTER (len > 2) AS gaps, max(len) AS longest FROM l GROUP BY 1),
+f AS (SELECT c.*, coalesce(gaps, 0) AS gaps, coalesce(longest, 0) AS longest, concat_ws(',', CASE WHEN n < 10 THEN 'too_short' END, CASE WHEN 100 * (n - missing) < 75.0 * n THEN 'coverage' END, CASE WHEN gaps > 1 THEN 'gaps' END, CASE WHEN outliers > 0.1 * n THEN 'outliers' END) AS reasons FROM c LEFT JOIN g USING (series_id)),
+t AS (SELECT *, CASE WHEN reasons <> '' THEN 'rejected' WHEN missing = 0 THEN 'clean' WHEN longest > 2 THEN 'seasonal' ELSE 'linear' END AS route FROM f),
+w AS (SELECT h.*, avg(value) OVER (PARTITION BY series_id, idx % 7) AS phase, last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, first_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM h),
+x AS (SELECT w.series_id, coalesce(value, CASE route WHEN 'linear' THEN (coalesce(l, r) + coalesce(r, l)) / 2 WHEN 'seasonal' THEN coalesce(phase, (coalesce(l, r) + coalesce(r, l)) / 2) END) AS made, value FROM w JOIN t USING (series_id))
+SELECT series_id, route, reasons, n, missing, gaps, outliers, round(100.0 * (n - missing) / n, 2) AS coverage, count(*) FILTER (value IS NULL AND made IS NOT NULL) AS repaired, CASE WHEN route = 'rejected' THEN 'inspect' WHEN outliers > 0 THEN 'review_outliers' ELSE 'forecast' END AS next_step, round(sum(made), 3) AS total
+FROM t JOIN x USING (series_id) GROUP BY ALL""",
+)
+def routed_series(spark, d):
+    """Daily totals with holes, each series by its own gates to its own repair; handed over as a version."""
+    hole = F.expr("series_id = 'view' AND idx BETWEEN 10 AND 15 OR series_id = 'purchase' AND idx % 11 = 3 OR series_id = 'click' AND idx % 4 = 1")
+    points = tables.daily_events(spark, d).select("series_id", "idx", F.when(~hole, F.col("value")).alias("value"))
+    run = routing.Pipeline(Snapshots(spark, _folder(spark, "routed")), _GATES)
+    report, left = run.run(points, "daily")
+    if not report["ok"]:
+        raise ValueError(", ".join(report["failed"]))
+    totals = left.groupBy("series_id").agg(F.sum("value").alias("total"))
+    known = points.groupBy("series_id").agg(F.sum("value").alias("known"))
+    out = routing.routes(routing.routed(points, _GATES)).join(totals, "series_id", "left").join(known, "series_id")
+    return out.select("series_id", "route", "reasons", "n", "missing", "gaps", "outliers", "coverage", "repaired", "next_step", F.round(F.coalesce("total", "known"), 3).alias("total"))
+
+
+@query("halved_holt")
+def halved_holt(spark, d):
+    """Holt's parameters of the event types by successive halving over three rolling origins."""
+    return rounded(tuning.halved_holt(tables.daily_events(spark, d), 3, 5))
