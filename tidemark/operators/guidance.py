@@ -117,11 +117,12 @@ def refresh_decisions(points: DataFrame, every: int = 1, recent: int = 30, thres
     """(series_id, idx, refresh, reason) as each point arrives: insufficient-data, no-fit, drift, new-points or below-threshold.
 
     The first fit is made at ``least`` points, the next ones after ``every`` new points each; drift is the distance of the
-    last ``recent`` values' mean from that of all so far, in deviations, and is judged from 20 points on of which 10 are recent."""
+    last ``recent`` values' mean from that of all so far, in deviations, and is judged from 20 points on, 10 of them among the last 2 · ``recent``."""
     w = _series("idx")
     so_far, late = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1 - recent, 0)
     z = F.try_divide(F.abs(F.avg("value").over(late) - F.avg("value").over(so_far)), F.stddev_samp("value").over(so_far))
-    z = F.when((F.count("value").over(so_far) >= 20) & (F.count("value").over(late) >= 10), z)
+    seen = F.count("value").over(so_far)
+    z = F.when((seen >= 20) & (F.least(seen, F.lit(2 * recent)) >= 10), z)
     since = F.col("idx") - (least - 1)
     reason = F.when(since < 0, "insufficient-data").when(since == 0, "no-fit").when(since % every != 0, "below-threshold").when(F.round(z, 9) > threshold, "drift").otherwise("new-points")
     return points.select("series_id", "idx", reason.alias("reason")).select("series_id", "idx", F.col("reason").isin("no-fit", "drift", "new-points").alias("refresh"), "reason")

@@ -103,7 +103,7 @@ class Series:
         """Distance of the late values' mean from that of all, in deviations; None before 20 points."""
         late = self.values[-self.settings.drift_window :]
         sd = np.sqrt(self.m2 / (self.points - 1)) if self.points > 1 else 0.0
-        return float(abs(np.mean(late) - self.mean) / sd) if len(late) >= 10 and self.points >= 20 and sd > 0 else None
+        return float(abs(np.mean(late) - self.mean) / sd) if min(self.points, 2 * self.settings.drift_window) >= 10 and self.points >= 20 and sd > 0 else None
 
     def refresh(self) -> dict:
         """Makes the forecast again if need be; what happened."""
