@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.significance import f_p_value
+from tidemark.operators.hierarchy import _stored
 from tidemark.operators.multi import STEPS, TILE
 
 #: Quarters of time in which the sign of a correlation is looked at, and their least length.
@@ -86,6 +87,8 @@ def lagged_sums(rows: DataFrame, n: int, most: int) -> DataFrame:
         return pd.DataFrame({"a": np.where(turned, second[k], first[r]), "b": np.where(turned, first[r], second[k]), "c": flat(c), "ab": flat(ab), "ba": flat(ba), "s": some(s), "q": some(squares)})
 
     sums = left.unionByName(right).groupBy("block", "i", "j").applyInPandas(products, fields)
+    if n + most <= STEPS:  # one block: its sums are whole
+        return sums
     length = {"c": lags * lags, "ab": QUARTERS * lags, "ba": QUARTERS * lags, "s": (QUARTERS + 1) * lags, "q": (QUARTERS + 1) * lags}
     return sums.groupBy("a", "b").agg(*(F.array(*(F.sum(F.get(c, F.lit(k))) for k in range(m))).alias(c) for c, m in length.items()))
 
@@ -159,7 +162,8 @@ def edges(points: DataFrame, max_lag: int = 12, ar_lag: int = 4, season: int | N
     most = max(max_lag, ar_lag)
     if n < 30 or n - most < LEAST_USED or n - most - ar_lag - (max_lag + 1) - 1 < LEAST_FREE:
         return points.sparkSession.createDataFrame([], _EDGE).withColumn("p", F.lit(None).cast("double"))
-    sums = lagged_sums(rows, n, most)
+    # read three times: pairs, and the sums of either series
+    sums = _stored(lagged_sums(rows, n, most), "lagged-sums")
     spread = rows.groupBy("series_id").agg(F.stddev_samp("v").alias("sd"))
     own = sums.filter("a = b").join(spread, F.col("a") == F.col("series_id")).select("a", "c", "s", "q", "sd")
     x, y = (own.select(F.col("a").alias(k), F.col("c").alias(k + k), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"), F.col("sd").alias(f"sd_{k}")) for k in "xy")

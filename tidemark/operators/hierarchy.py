@@ -27,19 +27,20 @@ def depths(edges: DataFrame) -> DataFrame:
 
     Each round doubles how far pointers reach. A cycle, a node with two rows and a parent without a row of its own raise."""
     edges = _stored(edges.select("node", "parent"), "edges")
-    if edges.groupBy("node").count().filter("count > 1 or node is null").limit(1).count():
+    nodes, names = edges.agg(F.count("*"), F.count_distinct("node")).head()
+    if nodes != names:
         raise ValueError("a node of the hierarchy has several rows, or no name")
     if edges.filter("parent is not null").join(edges.select(F.col("node").alias("parent")), "parent", "left_anti").limit(1).count():
         raise ValueError("a parent of the hierarchy has no row of its own")
     at = edges.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("int").alias("far"))
-    reach, nodes = 1, edges.count()
+    reach, total = 1, None
     while True:
         further = at.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
         after = _stored(at.join(further, "up").select("node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far")), "pointers")
         # pointers that stand at a top go on no more
-        moved = after.agg(F.sum("far")).head()[0] != at.agg(F.sum("far")).head()[0]
+        before, total = total, after.agg(F.sum("far")).head()[0]
         at, reach = after, 2 * reach
-        if not moved:
+        if total == before or not total:
             break
         if reach > 4 * nodes:
             raise ValueError("the hierarchy has a cycle")
