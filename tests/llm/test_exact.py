@@ -151,12 +151,30 @@ LICENSES = ["Released under the MIT License", "see CC  BY, cc by cc-by!", "All r
 
 
 def test_licenses_equal_sql(spark, docs):
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(LICENSES)), "doc_id bigint, text string"))
+    more = [*LICENSES, license_scan.TEMPLATES["mit-text"].replace("Software", "Program"), "x " * 500 + license_scan.TEMPLATES["zlib-text"] + " y" * 500]
+    df = spark.createDataFrame(list(enumerate(more)), "doc_id bigint, text string")
+    df = docs.select("doc_id", "text").unionByName(df).withColumn("words", F.lit("a clash")).withColumn("row", F.lit(1)).withColumn("held", F.lit(None)).withColumn("label", F.lit("mit"))
     got = license_scan.scan_licenses(df)
     names, rows = duck(license_scan.ORACLE, documents=df)
     same(got.drop("matches"), names, rows)
     labels = {r["doc_id"]: r["labels"] for r in got.collect()}
     assert labels[0] == "mit-short" and labels[4] == "mit" and labels[5] == "" and labels[2] == "reserved"
+    assert "mit-text" in labels[len(LICENSES)] and labels[len(LICENSES) + 1] == "zlib-text"
+
+
+def test_licenses_words_far_apart(spark):
+    """Words of a template that a long line scatters give no label; the same template in one place gives one match there."""
+    scattered = [f"w{i}" for i in range(10_000)]
+    for at, word in zip(range(0, 10_000, 2_000), "released under the mit license".split()):
+        scattered[at] = word
+    often = ("released " * 30 + "mit " * 30) * 400
+    placed = scattered[:5_001] + "Released under the MIT License".split() + scattered[5_001:]
+    texts = [" ".join(scattered), often, " ".join(placed), "license mit the under released " * 2]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[0]["labels"] == rows[1]["labels"] == "" and rows[0]["score"] == 0
+    assert [(m["label"], m["word"], m["containment"]) for m in rows[2]["matches"]] == [("mit-short", 5_000, 1.0)]
+    assert [m["label"] for m in rows[3]["matches"]] == ["mit-short"]
 
 
 def test_licenses_over_lines(spark):
