@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -208,8 +209,19 @@ SECRETS = [
 ]
 
 
+def test_secrets_linear_in_a_text(spark):
+    """80,000 parts in one text: as many results as planted, in a time that a product of them could not meet."""
+    n = 40_000
+    text = " ".join(f"password=secret{i:06d} user=name{i:06d}" for i in range(n))
+    start = time.monotonic()
+    got = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert got["n_assign"] == n and sum(p["k"] == secret_scan.KINDS.index("account") for p in got["parts"]) == n
+    assert time.monotonic() - start < 120
+
+
 def test_secrets(spark, docs):
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(SECRETS)), "doc_id bigint, text string"))
+    df = df.withColumn("row", F.lit(1)).withColumn("start", F.lit("a clash")).withColumn("hex", F.lit(None)).withColumn("token", F.lit("x"))
     got = secret_scan.scan_secrets(df).drop("parts")
     names, rows = duck(secret_scan.ORACLE, documents=df)
     same(got, names, rows)

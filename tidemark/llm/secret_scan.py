@@ -7,7 +7,8 @@ the gap between them is at most ``scope`` code points, and an endpoint when it i
 reported only in such company; base spans count as parts and are always reported.
 
 The interval join is an equi-join on (row, cell of ``scope`` code points) with neighbouring cells; how many parts one
-cell holds is bounded by its length, so no row makes pairs that grow with its square.
+cell holds is bounded by its length, so no row makes pairs that grow with its square. Weak parts that overlap a base
+span are found by a running maximum of the base spans' ends along the row, without pairs.
 
 Offsets are code points, the end exclusive. Defined cases: null text counts as empty; rows are independent, so ties
 and repeated rows each get their result; an empty table gives an empty result; extra columns are ignored; texts of any
@@ -16,7 +17,7 @@ length are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table, text_or_empty
@@ -83,12 +84,13 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, parts (array of start, end, k; k indexes KINDS)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "doc_id", *(_spans(k, *v).alias(k) for k, v in (BASE | WEAK).items()))
-    # weak parts that overlap a base span say nothing new
-    base = F.concat(*BASE)
-    for k in WEAK:
-        rows = rows.withColumn(k, F.filter(k, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))))
     rows = stored(rows, "secret-rows")
     every = rows.select("row", F.explode(F.concat(*KINDS)).alias("s")).select("row", "s.*")
+    # weak parts that overlap a base span say nothing new: of the base spans that start before a part's end, one ends after its start
+    strong = F.col("k") < len(BASE)
+    before = Window.partitionBy("row").orderBy(F.when(strong, F.col("start")).otherwise(F.col("end") - 1)).rangeBetween(Window.unboundedPreceding, 0)
+    every = every.withColumn("covered", F.max(F.when(strong, F.col("end"))).over(before))
+    every = every.filter(strong | F.col("covered").isNull() | (F.col("covered") <= F.col("start"))).drop("covered")
     role = lambda name: every.filter(F.col("k").isin([KINDS.index(k) for k, r in ROLES.items() if r == name]))
     linked = _near(role("identifier"), role("secret"), scope)
     pair = linked.select("row", F.least("l_start", "r_start").alias("start"), F.greatest("l_end", "r_end").alias("end"), F.lit(-1).alias("k")).distinct()
