@@ -100,10 +100,10 @@ def impute(points: DataFrame, method: str = "linear", season: int = 7, window: i
 
 
 def season_breaks(points: DataFrame, season: int = 7, least: float = 0.7) -> DataFrame:
-    """(series_id, block, r): correlation of neighbouring blocks of ``season`` values below ``least``."""
+    """(series_id, block, r): correlation of neighbouring blocks of ``season`` values below ``least``; a constant block has none."""
     p = points.select("series_id", F.floor(F.col("idx") / season).alias("block"), (F.col("idx") % season).alias("phase"), "value")
     after = p.select("series_id", (F.col("block") - 1).alias("block"), "phase", F.col("value").alias("after"))
-    r = p.join(after, ["series_id", "block", "phase"]).groupBy("series_id", "block").agg(F.corr("value", "after").alias("r"), F.count("*").alias("n"))
+    r = p.join(after, ["series_id", "block", "phase"]).groupBy("series_id", "block").agg(F.try_divide(F.covar_pop("value", "after"), F.stddev_pop("value") * F.stddev_pop("after")).alias("r"), F.count("*").alias("n"))
     return r.filter((F.col("n") == season) & (F.col("r") < least)).select("series_id", "block", "r")
 
 

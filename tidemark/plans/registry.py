@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, guidance, models, prepare, quality
-from tidemark.plans import further, graphs, guide, latest, more, states, wider
+from tidemark.plans import designs, further, graphs, guide, latest, more, states, wider
 from tidemark.functions.stats import norm_cdf_sql
 from tidemark.sources import tables
 
@@ -462,8 +462,8 @@ def best_forecast(spark, d):
 
 
 def queries() -> dict:
-    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES | guide.QUERIES | states.QUERIES | graphs.QUERIES
+    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES | guide.QUERIES | states.QUERIES | graphs.QUERIES | designs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES | guide.ORACLES | states.ORACLES | graphs.ORACLES
+    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES | guide.ORACLES | states.ORACLES | graphs.ORACLES | designs.ORACLES
