@@ -56,20 +56,14 @@ def anova(rows: DataFrame, value: str, group: str, by: tuple[str, ...] = ("serie
     return out.withColumn("p", f_p_value(F.col("f"), F.col("df1"), F.col("df2")))
 
 
-def sign_stability(pairs: DataFrame, windows: int = 4, least: int = 8, by: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """(by…, r, stability): share of ``windows`` blocks of rows (idx, x, y) whose correlation has the sign of the whole; 0 if blocks are shorter than ``least``."""
-    n = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.min("idx").alias("low"))
-    size = F.floor(F.col("n") / windows)
-    blocks = pairs.join(n, list(by)).withColumn("block", F.floor((F.col("idx") - F.col("low")) / size)).filter((size >= least) & (F.col("block") < windows))
-    per = blocks.groupBy(*by, "block").agg(F.corr("x", "y").alias("rb"), F.first("r").alias("r"))
-    agree = per.filter("rb is not null and not isnan(rb)").groupBy(*by).agg(F.avg((F.signum("rb") == F.signum("r")).cast("double")).alias("stability"))
-    return n.join(agree, list(by), "left").select(*by, "r", F.coalesce("stability", F.lit(0.0)).alias("stability"))
+def correlated_pairs(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b, n, r, p, relation, cluster) of pairs (a, b, n, r): p by a normal approximation of r's t; relations from ``threshold``, whose clusters are named by their kind.
 
-
-def correlated_pairs(packed: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, n, r, p, relation, cluster) of pairs (a, b, x, y): p by a normal approximation of r's t; relations from ``threshold``, whose clusters are named by their kind."""
-    out = packed.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    A cluster's number comes from a rank of first series, of which there is one row for each kind, not one for each pair."""
     t = F.abs("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     relation = F.when(F.col("r") >= threshold, "positive").when(F.col("r") <= -threshold, "negative").otherwise("weak")
-    out = out.withColumn("p", 2 * (1 - norm_cdf(t))).withColumn("relation", relation)
-    return out.withColumn("cluster", F.when(F.col("relation") != "weak", F.dense_rank().over(Window.partitionBy("relation").orderBy("a"))))
+    known = pairs.select("a", "b", "n", F.nullif(F.col("r"), F.lit(float("nan"))).alias("r"))
+    out = known.select("a", "b", "n", "r", (2 * (1 - norm_cdf(t))).alias("p"), relation.alias("relation"))
+    firsts = out.filter("relation <> 'weak'").select("relation", "a").distinct()
+    ranks = firsts.withColumn("cluster", F.row_number().over(Window.partitionBy("relation").orderBy("a")))
+    return out.join(ranks, ["relation", "a"], "left").select("a", "b", "n", "r", "p", "relation", "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import norm_cdf_sql
-from tidemark.operators import inference, panel, report, shocks
+from tidemark.operators import inference, pairs, panel, report, shocks
 from tidemark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,12 +103,6 @@ def weekday_anova(spark, d):
     return longs(rounded(inference.anova(daily(spark, d).withColumn("wd", F.dayofweek("t")), "value", "wd")), "df1", "df2")
 
 
-def _pairs(spark, d):
-    p = daily(spark, d).select("series_id", "idx", "value")
-    a, b = p.select(F.col("series_id").alias("a"), "idx", F.col("value").alias("x")), p.select(F.col("series_id").alias("b"), "idx", F.col("value").alias("y"))
-    return a.join(b, "idx").filter("a < b")
-
-
 _PAIRS = "q AS (SELECT a.series_id AS a, b.series_id AS b, a.idx, a.value AS x, b.value AS y FROM p a JOIN p b USING (idx) WHERE a.series_id < b.series_id)"
 
 
@@ -120,7 +114,7 @@ g AS (SELECT a, b, avg(CASE WHEN sign(rb) = sign(r) THEN 1.0 ELSE 0.0 END) AS s
 SELECT a, b, round(r, 4) AS r, round(coalesce(s, 0.0), 4) AS stability FROM n LEFT JOIN g USING (a, b)""",
 )
 def sign_stability(spark, d):
-    return rounded(inference.sign_stability(_pairs(spark, d), windows=3))
+    return rounded(pairs.stable_signs(daily(spark, d), windows=3))
 
 
 @query(
@@ -130,7 +124,7 @@ r AS (SELECT *, {norm_cdf_sql("(abs(r) * sqrt((n - 2) / (1 - r * r)))")} AS c, C
 SELECT a, b, n, round(r, 4) AS r, round(2 * (1 - c), 4) AS p, relation, CASE WHEN relation <> 'weak' THEN dense_rank() OVER (PARTITION BY relation ORDER BY a) END AS cluster FROM r""",
 )
 def correlated_pairs(spark, d):
-    return longs(rounded(inference.correlated_pairs(_pairs(spark, d), 0.1)), "cluster")
+    return longs(rounded(inference.correlated_pairs(pairs.pair_correlations(daily(spark, d)), 0.1)), "cluster")
 
 
 @query(
