@@ -57,6 +57,30 @@ def rolling_origin(points: DataFrame, folds: int, test: int, methods: tuple[str,
     return out.withColumn("fold", F.substring_index("series_id", "#", -1).cast("int")).withColumn("series_id", F.expr("left(series_id, length(series_id) - length(fold) - 1)"))
 
 
+def fold_scales(points: DataFrame, folds: int, test: int) -> DataFrame:
+    """(series_id, fold, scale): mean absolute step of the values that train a fold of ``rolling_origin``; errors over it are scaled errors."""
+    step = points.select("series_id", "idx", F.abs(F.col("value") - F.lag("value").over(_by_idx())).alias("step"))
+    f = step.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("idx") < (F.col("fold") + 1) * test)
+    return f.groupBy("series_id", "fold").agg(F.avg("step").alias("scale"))
+
+
+def fold_report(points: DataFrame, folds: int, test: int, methods: tuple[str, ...] = ("naive", "mean", "drift", "linear"), interval: int = 80) -> DataFrame:
+    """(series_id, method, folds, rmse, rmse_sd, mae, mae_sd, mape, mase, promised, coverage, rank) over the folds of ``rolling_origin``.
+
+    Means of each metric; deviations are those of a sample, 0 for a single fold. Folds without a percentage (all actuals 0) or
+    without a scale (constant training) are left out of mape and mase, which are null if none is left. Coverage is the mean share of
+    actuals within the bands, beside the promised one. Rank 1 has the least mean rmse, of equals the method named first."""
+    rolled = rolling_origin(points, folds, test, methods, interval).join(fold_scales(points, folds, test), ["series_id", "fold"], "left")
+    mase = F.try_divide(F.col("mae"), F.when(F.col("scale") > 0, F.col("scale")))
+    sd = lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))
+    out = rolled.groupBy("series_id", "method").agg(
+        F.count("rmse").alias("folds"), F.avg("rmse").alias("rmse"), sd("rmse").alias("rmse_sd"), F.avg("mae").alias("mae"), sd("mae").alias("mae_sd"),
+        F.avg("mape").alias("mape"), F.avg(mase).alias("mase"), F.lit(float(interval)).alias("promised"), F.avg("coverage").alias("coverage"),
+    )
+    order = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.round("rmse", 6), order)))
+
+
 def diebold_mariano(folds: DataFrame, metric: str = "rmse") -> DataFrame:
     """(series_id, method_a, method_b, n, mean_diff, statistic, p_value) of all pairs of methods over their folds."""
     a = folds.select("series_id", "fold", F.col("method").alias("method_a"), F.col(metric).alias("x"))

@@ -160,13 +160,15 @@ def croston(points: DataFrame) -> DataFrame:
     return out.select("series_id", size.alias("demand"), (chance * slow).alias("tsb"))
 
 
-def box_cox_lambda(points: DataFrame) -> DataFrame:
-    """(series_id, lambda): of 41 values in [-2, 2] the one of the largest likelihood, the smallest of equals; positive series only."""
+def box_cox_lambda(points: DataFrame, textbook: bool = True) -> DataFrame:
+    """(series_id, lambda): of 41 values in [-2, 2] the one of the largest likelihood, the smallest of equals; positive series only.
+
+    The likelihood's Jacobian is weighed by lambda - 1; without ``textbook`` it isn't, so that the least variance decides."""
     positive = points.join(points.groupBy("series_id").agg(F.min("value").alias("low")).filter("low > 0"), "series_id")
     grid = positive.withColumn("k", F.explode(F.sequence(F.lit(-20), F.lit(20)))).withColumn("lambda", F.col("k") / 10.0)
     x = F.when(F.col("k") == 0, F.ln("value")).otherwise((F.pow("value", F.col("lambda")) - 1) / F.col("lambda"))
     per = grid.withColumn("x", x).groupBy("series_id", "k", "lambda").agg(F.var_pop("x").alias("v"), F.avg(F.ln("value")).alias("m"), F.count("*").alias("n"))
-    score = -F.col("n") / 2 * F.ln("v") + (F.col("lambda") - 1) * F.col("n") * F.col("m")
+    score = -F.col("n") / 2 * F.ln("v") + (F.col("lambda") - 1 if textbook else F.lit(1.0)) * F.col("n") * F.col("m")
     return per.filter("v > 0").withColumn("score", F.round(score, 6)).groupBy("series_id").agg(F.max_by("lambda", F.struct("score", -F.col("k"))).alias("lambda"))
 
 

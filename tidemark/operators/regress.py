@@ -1,6 +1,4 @@
-"""Regressions of each series: harmonics by ridge least squares, and a line that outliers don't bend.
-
-A series is one row with its values; series are spread over tasks."""
+"""Regressions of each series: harmonics from sums, and a line that outliers don't bend, for which a series is one row with its values."""
 
 from __future__ import annotations
 
@@ -10,33 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.functions.stats import INTERVAL_Z
+from tidemark.operators.transforms import harmonic_regression
 from tidemark.sources.tables import arrays
 
 
 def harmonic_forecast(points: DataFrame, season: int, harmonics: int, horizon: int, interval: int = 80) -> DataFrame:
-    """(series_id, h, point, lower, upper): intercept and ``harmonics`` sine-cosine pairs; bands widen with sqrt(1 + h/n)."""
-    z = INTERVAL_Z[interval]
-
-    def design(t: np.ndarray) -> np.ndarray:
-        angles = 2 * np.pi * np.outer(t, np.arange(1, harmonics + 1)) / season
-        return np.column_stack([np.ones(len(t)), np.sin(angles), np.cos(angles)])
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, y in zip(batch["series_id"], batch["y"], strict=True):
-                n = len(y)
-                x = design(np.arange(n))
-                if n < max(10, x.shape[1] + 1):
-                    continue
-                gram = x.T @ x
-                beta = np.linalg.solve(gram + 1e-8 * np.trace(gram) / len(gram) * np.eye(len(gram)), x.T @ y)
-                variance = ((y - x @ beta) ** 2).sum() / max(n - x.shape[1], 1)
-                h = np.arange(1, horizon + 1)
-                point, half = design(n - 1 + h) @ beta, z * np.sqrt(variance * (1 + h / n))
-                yield pd.DataFrame({"series_id": key, "h": h, "point": point, "lower": point - half, "upper": point + half})
-
-    return arrays(points).select("series_id", "y").mapInPandas(fit, "series_id string, h int, point double, lower double, upper double")
+    """(series_id, h, point, lower, upper): ``harmonic_regression`` on one season."""
+    return harmonic_regression(points, (season,), harmonics, horizon, interval)
 
 
 def robust_line(points: DataFrame, delta: float = 1.35, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:

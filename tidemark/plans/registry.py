@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, guidance, models, prepare, quality
-from tidemark.plans import designs, further, graphs, guide, latest, more, states, wider
+from tidemark.plans import designs, further, graphs, guide, latest, more, scales, states, wider
 from tidemark.functions.stats import norm_cdf_sql
 from tidemark.sources import tables
 
@@ -274,6 +274,17 @@ def rolling_origin(spark, d):
     return rounded(_rolling(spark, d))
 
 
+@query(
+    "fold_report",
+    f"""WITH {DAILY}, {_FOLDS}, sc AS (SELECT series_id, fold, avg(abs(e1)) AS scale FROM e GROUP BY 1, 2),
+r AS (SELECT series_id, method, count(*) AS folds, avg(rmse) AS rmse, coalesce(stddev_samp(rmse), 0) AS rmse_sd, avg(mae) AS mae, coalesce(stddev_samp(mae), 0) AS mae_sd, avg(mape) AS mape, avg(mae / nullif(scale, 0)) AS mase, avg(coverage) AS coverage FROM m LEFT JOIN sc USING (series_id, fold) GROUP BY 1, 2)
+SELECT series_id, method, folds, round(rmse, 4) AS rmse, round(rmse_sd, 4) AS rmse_sd, round(mae, 4) AS mae, round(mae_sd, 4) AS mae_sd, round(mape, 4) AS mape, round(mase, 4) AS mase, 80.0::DOUBLE AS promised, round(coverage, 4) AS coverage,
+row_number() OVER (PARTITION BY series_id ORDER BY round(rmse, 6), list_position(['naive', 'mean', 'drift', 'linear'], method)) AS rank FROM r""",
+)
+def fold_report(spark, d):
+    return rounded(evaluate.fold_report(tables.daily_events(spark, d), 4, 5)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "diebold_mariano",
     f"""WITH {DAILY}, {_FOLDS}, d AS (SELECT a.series_id, a.method AS method_a, b.method AS method_b, count(*) AS n, avg(a.rmse - b.rmse) AS mean_diff, stddev_samp(a.rmse - b.rmse) AS sd
@@ -462,8 +473,8 @@ def best_forecast(spark, d):
 
 
 def queries() -> dict:
-    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES | guide.QUERIES | states.QUERIES | graphs.QUERIES | designs.QUERIES
+    return QUERIES | wider.QUERIES | further.QUERIES | more.QUERIES | latest.QUERIES | guide.QUERIES | states.QUERIES | graphs.QUERIES | designs.QUERIES | scales.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES | guide.ORACLES | states.ORACLES | graphs.ORACLES | designs.ORACLES
+    return ORACLES | wider.ORACLES | further.ORACLES | more.ORACLES | latest.ORACLES | guide.ORACLES | states.ORACLES | graphs.ORACLES | designs.ORACLES | scales.ORACLES

@@ -370,11 +370,6 @@ def decomposed_forecast(spark, d):
     return longs(rounded(decompose.decomposed_forecast(tables.daily_events(spark, d), 7, 14)), "h")
 
 
-@query("harmonic_forecast")
-def harmonic_forecast(spark, d):
-    return rounded(regress.harmonic_forecast(tables.daily_orders(spark, d), 7, 2, 14))
-
-
 @query("robust_line")
 def robust_line(spark, d):
     return rounded(regress.robust_line(tables.daily_events(spark, d)))
