@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models, regress, transforms
 from tidemark.plans.more import ORDERS, rounded
-from tidemark.sources import tables
+from tidemark.sources import projects, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,17 @@ def harmonic_sql(season: int, harmonics: int, horizon: int) -> str:
 @query("harmonic_forecast", harmonic_sql(7, 2, 14))
 def harmonic_forecast(spark, d):
     return rounded(regress.harmonic_forecast(tables.daily_orders(spark, d), 7, 2, 14), 3)
+
+
+@query(
+    "project_weeks",
+    f"""WITH {ORDERS}, b AS (SELECT *, CAST(floor((epoch_ms(t) - min(epoch_ms(t)) OVER ()) / 604800000.0) AS BIGINT) AS bin, min(t) OVER () AS start FROM p)
+SELECT row_number() OVER (ORDER BY bin) - 1 AS idx, CAST(any_value(start) + CAST(bin * 7 AS INT) AS DATE) AS day, round(sum(value), 2) AS value FROM b GROUP BY bin""",
+)
+def project_weeks(spark, d):
+    """Daily revenue as CSV files with a project beside them, loaded by the project: seven days each."""
+    folder = f"{tables.shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    tables.daily_orders(spark, d).select(F.date_format("t", "yyyy-MM-dd").alias("date"), F.col("value").alias("revenue")).write.option("header", True).csv(f"{folder}/days")
+    projects.write_project(spark, f"{folder}/revenue.forecast.json", projects.default_project("revenue", "days") | {"valueColumn": "revenue", "resample": True, "agg": "sum", "step": 7 * 86_400_000})
+    points = projects.load(spark, folder).points
+    return points.select(F.col("idx").cast("bigint").alias("idx"), F.to_date("t").alias("day"), F.round("value", 2).alias("value"))
