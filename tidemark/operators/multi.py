@@ -80,31 +80,42 @@ def best_lags(correlations: DataFrame) -> DataFrame:
 
 
 def _wide(points: DataFrame, names: list[str]) -> DataFrame:
-    return points.groupBy("idx").pivot("series_id", names).agg(F.first("value")).dropna().orderBy("idx")
+    return points.groupBy("idx").pivot("series_id", names).agg(F.first("value")).dropna()
 
 
 def var_forecast(points: DataFrame, names: list[str], order: int, horizon: int) -> DataFrame:
     """(series_id, h, point) of a vector autoregression of the few series named.
 
-    The normal equations are sums over all rows, made by Spark; the driver solves a matrix of 1 + names·order rows."""
+    Each value goes to its own step and to the ``order`` steps after it, so that grouping by step gives rows with their lags:
+    one shuffle, no order over the whole. Rows that lack a value, or one at a lag, teach nothing; h counts from the last step whose lags
+    are all known. The normal equations are sums over all rows, made by Spark; the driver solves a matrix of 1 + names·order
+    rows. Without a row that teaches, or without names, the result is empty."""
     k = len(names)
-    w = Window.partitionBy(F.lit(0)).orderBy("idx")
-    wide = _wide(points, names)
-    design = ["one", *(f"x{lag}_{i}" for lag in range(1, order + 1) for i in range(k))]
-    lagged = wide.select("idx", F.lit(1.0).alias("one"), *(F.lag(n, lag).over(w).alias(f"x{lag}_{i}") for lag in range(1, order + 1) for i, n in enumerate(names)), *(F.col(n).alias(f"y{i}") for i, n in enumerate(names))).dropna()
-    every = design + [f"y{i}" for i in range(k)]
-    sums = lagged.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(design) for j, b in enumerate(every))).head()
-    m = len(design)
+    lags = range(order + 1)
+    schema = "series_id string, h int, point double"
+    if not names:
+        return points.sparkSession.createDataFrame([], schema)
+    spread = points.filter(F.col("series_id").isin(names) & F.col("value").isNotNull()).select("series_id", "value", F.explode(F.array(*map(F.lit, lags))).alias("lag"), "idx")
+    cell = lambda n, lag: F.max(F.when((F.col("series_id") == n) & (F.col("lag") == lag), F.col("value").cast("double")))
+    wide = spread.groupBy((F.col("idx") + F.col("lag")).alias("idx")).agg(*(cell(n, lag).alias(f"x{lag}_{i}") for lag in lags for i, n in enumerate(names)))
+    past = [f"x{lag}_{i}" for lag in range(1, order + 1) for i in range(k)]
+    now = [f"x0_{i}" for i in range(k)]
+    design = [F.lit(1.0), *map(F.col, past)]
+    taught = F.forall(F.array(*map(F.col, now)), lambda v: v.isNotNull())
+    m, every = len(design), design + [F.col(c) for c in now]
+    sums = wide.dropna(subset=past).agg(F.count_if(taught).alias("n"), F.max_by(F.array(*map(F.col, past)), "idx").alias("last"), *(F.sum(F.when(taught, a * b)).alias(f"s{i}_{j}") for i, a in enumerate(design) for j, b in enumerate(every))).head()
+    if not sums["n"]:
+        return points.sparkSession.createDataFrame([], schema)
     xx = np.array([[sums[f"s{i}_{j}"] for j in range(m)] for i in range(m)], float)
     xy = np.array([[sums[f"s{i}_{m + j}"] for j in range(k)] for i in range(m)], float)
     beta = np.linalg.solve(xx + 1e-8 * np.trace(xx) / m * np.eye(m), xy)
-    last = [[r[n] for n in names] for r in wide.orderBy(F.col("idx").desc()).limit(order).collect()]
+    last = list(sums["last"])
     out = []
     for h in range(1, horizon + 1):
-        y = np.concatenate([[1.0], *last]) @ beta
-        last = [list(y), *last[:-1]]
+        y = np.concatenate([[1.0], last]) @ beta
+        last = [*y, *last][: k * order]
         out += [(n, h, float(v)) for n, v in zip(names, y, strict=True)]
-    return points.sparkSession.createDataFrame(out, "series_id string, h int, point double")
+    return points.sparkSession.createDataFrame(out, schema)
 
 
 def factors(points: DataFrame, names: list[str], k: int) -> DataFrame:

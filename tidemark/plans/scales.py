@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import models, regress, transforms
-from tidemark.plans.more import ORDERS, rounded
+from tidemark.operators import models, multi, regress, transforms
+from tidemark.plans.more import DAILY, ORDERS, rounded
+from tidemark.plans.wider import EVENT_TYPES
 from tidemark.sources import projects, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,33 @@ def project_weeks(spark, d):
     projects.write_project(spark, f"{folder}/revenue.forecast.json", projects.default_project("revenue", "days") | {"valueColumn": "revenue", "resample": True, "agg": "sum", "step": 7 * 86_400_000})
     points = projects.load(spark, folder).points
     return points.select(F.col("idx").cast("bigint").alias("idx"), F.to_date("t").alias("day"), F.round("value", 2).alias("value"))
+
+
+def vector_sql(names: list[str], horizon: int) -> str:
+    """A vector autoregression of order 1: normal equations with a ridge of 1e-8 of their mean diagonal, by elimination, then step by step."""
+    k = len(names)
+    m, width = k + 1, 2 * k + 1
+    value = lambda n: f"max(value) FILTER (series_id = '{n}')"
+    columns = [*(f"c{i}" for i in range(m)), *(f"y{i}" for i in range(k))]
+    gram = ", ".join(f"sum({a} * {b})" for a in columns for b in columns)
+    diagonal = " + ".join(f"g[{i * width + i + 1}]" for i in range(m))
+    beta = lambda i, j: f"g[{i * width + m + j + 1}]"
+    parts = [
+        DAILY,
+        f"w AS (SELECT idx, {', '.join(f'{value(n)} AS v{i}' for i, n in enumerate(names))} FROM p GROUP BY 1)",
+        f"x AS (SELECT b.idx, 1.0::DOUBLE AS c0, {', '.join(f'a.v{i} AS c{i + 1}' for i in range(k))}, {', '.join(f'b.v{i} AS y{i}' for i in range(k))} FROM w a JOIN w b ON b.idx = a.idx + 1)",
+        f"raw AS (SELECT [{gram}] AS g FROM x)",
+        f"g0 AS (SELECT list_transform(range({width * width}), lambda x: g[x + 1] + CASE WHEN x // {width} = x % {width} AND x // {width} < {m} THEN 1e-8 * ({diagonal}) / {m} ELSE 0 END) AS g FROM raw)",
+        *(f"g{s + 1} AS (SELECT list_transform(range({width * width}), lambda x: CASE WHEN x // {width} = {s} THEN g[x + 1] / g[{s * width + s + 1}] ELSE g[x + 1] - g[(x // {width}) * {width} + {s + 1}] * g[{s * width} + x % {width} + 1] / g[{s * width + s + 1}] END) AS g FROM g{s})" for s in range(m)),
+        f"f0 AS (SELECT {', '.join(f'v{i}' for i in range(k))} FROM w ORDER BY idx DESC LIMIT 1)",
+    ]
+    for h in range(1, horizon + 1):
+        ahead = (beta(0, j) + "".join(f" + {beta(i + 1, j)} * v{i}" for i in range(k)) + f" AS v{j}" for j in range(k))
+        parts.append(f"f{h} AS (SELECT {', '.join(ahead)} FROM f{h - 1}, g{m})")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS series_id, {h}::INT AS h, round(v{i}, 4) AS point FROM f{h}" for h in range(1, horizon + 1) for i, n in enumerate(names))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query("vector_autoregression", vector_sql(EVENT_TYPES, 5))
+def vector_autoregression(spark, d):
+    return rounded(multi.var_forecast(tables.daily_events(spark, d), EVENT_TYPES, 1, 5))

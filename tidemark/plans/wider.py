@@ -81,11 +81,6 @@ def best_lags(spark, d):
     return longs(rounded(multi.best_lags(multi.lagged_correlation(tables.daily_events(spark, d), 7))), "lag")
 
 
-@query("vector_autoregression")
-def vector_autoregression(spark, d):
-    return rounded(multi.var_forecast(tables.daily_events(spark, d), EVENT_TYPES, 1, 5))
-
-
 @query("factors")
 def factors(spark, d):
     return rounded(multi.factors(tables.daily_events(spark, d), EVENT_TYPES, 2))
