@@ -181,8 +181,7 @@ def load(spark: SparkSession, project: str | None = None, **options) -> Loaded:
         found = dominant_step(points).head() if config["step"] is None else None
         step = config["step"] or (found["step_ms"] if found else None)
         if step is not None:
-            start = points.groupBy("series_id").agg(F.unix_millis(F.min("t")).alias("start"))
-            bins = resample(points, step).join(start, "series_id")
-            points = indexed(bins.select("series_id", F.timestamp_millis(F.col("start") + F.col("bin") * step).alias("t"), F.col(config["agg"]).alias("value")))
+            start = points.agg(F.unix_millis(F.min("t"))).head()[0]
+            points = indexed(resample(points, step).select("series_id", F.timestamp_millis(F.lit(start) + F.col("bin") * step).alias("t"), F.col(config["agg"]).alias("value")))
     config["name"] = config["name"] or _split(path.rstrip("/"))[1]
     return Loaded(config, points, skipped, text_digest(spark, path), step, observed)
