@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import anomalies, tuning
-from tidemark.sources import reports
+from tidemark.sources import reports, tables
 from tidemark.streaming import feeds
 
 
@@ -23,6 +23,17 @@ def test_isolation_finds_the_planted_point(spark):
     assert {(r["series_id"], r["idx"]): r["score"] for r in got} == {(r["series_id"], r["idx"]): r["score"] for r in again}
 
 
+def test_equal_trends_of_many_prices_are_no_reversal(spark, tmp_path):
+    """Days of 1,000 prices with cents rise by 100 a day, so that the slopes on either side of the peak are equal."""
+    rows = spark.range(40_000).withColumn("day", (F.col("id") % 40).cast("int"))
+    price = F.round(1100.1 + F.col("day") * 0.1 + F.when(F.col("day") == 20, 100).otherwise(0), 1)
+    rows.select(price.alias("o_totalprice"), F.expr("timestamp_seconds(day * 86400)").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    days = tables.daily_orders(spark, str(tmp_path))
+    assert [r["value"] for r in days.orderBy("idx").collect()] == [1100100.0 + 100 * k + 100000 * (k == 20) for k in range(40)]
+    got = anomalies.anomaly_patterns(days).collect()
+    assert [(r["idx"], r["before"], r["after"], r["pattern"]) for r in got] == [(20, 100.0, 100.0, "extreme_outlier")]
+
+
 def test_cusum_restarts(spark):
     got = anomalies.cusum(series(spark, a=[0] * 20 + [10] * 5 + [0] * 20, flat=[3] * 4), threshold=4.0).collect()
     assert {r["idx"] for r in got if r["series_id"] == "a" and r["detected"]} & set(range(21, 26))
