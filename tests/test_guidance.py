@@ -2,10 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import guidance, models
+from tidemark.plans import registry
 
 
 def series(spark, held):
@@ -29,6 +32,29 @@ def test_croston_equals_the_fold(spark):
         assert (got[key]["demand"], got[key]["tsb"]) == pytest.approx((q, p * tq))
 
 
+def test_croston_needs_no_rows_without_demand(spark):
+    held = {"a": [3, 0, 0, 5, 0, None, 1], "once": [2], "tail": [0, 0, 4, 0]}
+    full = series(spark, held)
+    ends = {k: {0, len(y) - 1} for k, y in held.items()}
+    rows = [(k, 9000 + i, None if v is None else float(v)) for k, y in held.items() for i, v in enumerate(y) if v or i in ends[k]]
+    got = {r["series_id"]: (r["demand"], r["tsb"]) for r in models.croston(spark.createDataFrame(rows, "series_id string, idx int, value double")).collect()}
+    want = {r["series_id"]: (r["demand"], r["tsb"]) for r in models.croston(full).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_demand_grows_with_the_lines_not_with_the_days(spark, tmp_path):
+    rows = [(1, 5.0, "1970-01-02"), (1, 2.0, "2169-12-30"), (1, 1.0, "2169-12-30"), (2, None, "2000-01-01"), (2, 7.0, "2000-01-09"), (None, 4.0, "2000-01-01"), (3, 1.0, None), (4, -2.0, "2000-01-01"), (4, 3.0, "2000-01-02")]
+    lines = spark.createDataFrame(rows, "l_partkey bigint, l_quantity double, l_shipdate string").withColumn("l_shipdate", F.to_timestamp("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert registry._demand(spark, str(tmp_path)).count() == 7
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = registry.queries()["croston"](spark, str(tmp_path)).select("series_id", "demand", "tsb").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(registry.oracle_sql()["croston"]).fetchall()))
+    assert len(got) == 4
+
+
 def test_recommendation_by_kind_of_series(spark):
     rng = np.random.default_rng(4)
     t = np.arange(120)

@@ -140,19 +140,19 @@ def croston(points: DataFrame) -> DataFrame:
     """(series_id, demand, tsb): smoothed size of the positive values, and size times chance of the TSB variant.
 
     A smoothed value is a sum in which a demand's weight falls with the demands (or steps) after it, so that partial sums
-    do, and no series is gathered. Null values count as no demand."""
-    w = Window.partitionBy("series_id")
+    do, and no series is gathered. Null values count as no demand, and so do steps between a series' smallest and largest
+    ``idx`` that have no row; ``idx`` may start anywhere."""
+    after = Window.partitionBy("series_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     positive = F.col("value") > 0
-    later = F.coalesce(F.sum(positive.cast("int")).over(w.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = points.withColumn("later", later).withColumn("n", F.count("*").over(w))
+    p = points.withColumn("later", F.sum(positive.cast("int")).over(after) - 1).withColumn("age", F.max("idx").over(after) - F.col("idx"))
     kept = lambda rate, of: F.sum(F.when(positive, rate * F.pow(F.lit(1 - rate), of) * F.col("value")))
     out = p.groupBy("series_id").agg(
         F.min_by("value", "idx").alias("first"),
         F.count_if(positive).alias("m"),
-        F.max("n").alias("n"),
+        (F.max("age") + 1).alias("n"),
         kept(0.5, F.col("later")).alias("size"),
         kept(0.2, F.col("later")).alias("slow"),
-        F.sum(F.when(positive, 0.2 * F.pow(F.lit(0.8), F.col("n") - 1 - F.col("idx")))).alias("share"),
+        F.sum(F.when(positive, 0.2 * F.pow(F.lit(0.8), "age"))).alias("share"),
     )
     start = lambda rate: F.coalesce("first", F.lit(0.0)) * F.pow(F.lit(1 - rate), "m")
     size, slow = start(0.5) + F.coalesce("size", F.lit(0.0)), start(0.2) + F.coalesce("slow", F.lit(0.0))

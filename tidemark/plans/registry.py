@@ -202,11 +202,11 @@ def theta(spark, d):
 
 
 def _demand(spark, d):
-    """Daily quantity of each part, days without shipment as 0."""
-    line = tables.table(spark, d, "lineitem")
-    per = line.groupBy(F.col("l_partkey").cast("string").alias("series_id"), F.to_date("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("q"))
-    days = per.groupBy("series_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("series_id", F.explode(F.sequence("a", "b")).alias("t"))
-    return tables.indexed(days.join(per, ["series_id", "t"], "left").select("series_id", "t", F.coalesce("q", F.lit(0.0)).alias("value")))
+    """Quantity of each part on the days of its shipments, by number of day; other days have no row. Dealt by part once, before the sums."""
+    line = tables.table(spark, d, "lineitem").select(F.col("l_partkey").alias("series_id"), F.unix_date(F.to_date("l_shipdate")).alias("idx"), "l_quantity")
+    per = line.filter("idx IS NOT NULL").repartition("series_id").groupBy("series_id", "idx").agg(F.sum("l_quantity").alias("q"))
+    # lines without a part have days, but no quantity
+    return per.select("series_id", "idx", F.when(F.col("series_id").isNotNull(), F.coalesce("q", F.lit(0.0))).otherwise(0.0).alias("value"))
 
 
 _DEMAND = """
@@ -223,7 +223,7 @@ coalesce(sum(0.2::DOUBLE * pow(0.8, n - 1 - idx)) FILTER (value > 0), 0) AS tp F
 SELECT series_id, round(first * pow(0.5, m) + q, 4) AS demand, round((first * pow(0.8, m) + tq) * (0.5 * pow(0.8, n) + tp), 4) AS tsb FROM g""",
 )
 def croston(spark, d):
-    return rounded(models.croston(_demand(spark, d)))
+    return rounded(models.croston(_demand(spark, d))).withColumn("series_id", F.col("series_id").cast("string"))
 
 
 @query(
